@@ -9,25 +9,24 @@ from pyspark.sql import functions as F
 
 from .text import count_char, count_tags, has_url, tokens
 
-#: Word patterns of the moral foundations; `*` stands for any ending.
+# Word lists. In the moral foundations `*` stands for any ending.
 MORAL_FOUNDATIONS = {
-    "authority.vice": "corrupt* defy* lawless* rebel* subvert* violat*",
-    "authority.virtue": "authorit* duty* expert* law* obey* respect* rule*",
-    "care.vice": "abus* brutal* cruel* harm* hurt* suffer* victim*",
-    "care.virtue": "care* compassion* help* kind* nurtur* protect* safe*",
-    "fairness.vice": "bias* cheat* discriminat* exploit* injustice unfair*",
-    "fairness.virtue": "equal* fair* honest* impartial* justice right*",
-    "loyalty.vice": "abandon* betray* disloyal* selfish* traitor*",
-    "loyalty.virtue": "communit* loyal* patriot* solidar* together united",
-    "purity.vice": "contaminat* dirty disgust* filth* pollut* toxic*",
-    "purity.virtue": "clean* healthy* holy* natural* pure* sacred*",
+    "care.virtue": ["care*", "protect*", "safe*", "kind*", "compassion*", "nurtur*", "help*"],
+    "care.vice": ["harm*", "hurt*", "cruel*", "brutal*", "suffer*", "victim*", "abus*"],
+    "fairness.virtue": ["fair*", "justice", "equal*", "right*", "honest*", "impartial*"],
+    "fairness.vice": ["unfair*", "injustice", "cheat*", "exploit*", "discriminat*", "bias*"],
+    "loyalty.virtue": ["loyal*", "solidar*", "together", "united", "communit*", "patriot*"],
+    "loyalty.vice": ["betray*", "traitor*", "disloyal*", "abandon*", "selfish*"],
+    "authority.virtue": ["authorit*", "expert*", "law*", "rule*", "duty*", "obey*", "respect*"],
+    "authority.vice": ["rebel*", "defy*", "subvert*", "lawless*", "corrupt*", "violat*"],
+    "purity.virtue": ["pure*", "clean*", "natural*", "sacred*", "holy*", "healthy*"],
+    "purity.vice": ["pollut*", "toxic*", "contaminat*", "dirty", "disgust*", "filth*"],
 }
-MORAL_FOUNDATIONS = {k: v.split() for k, v in MORAL_FOUNDATIONS.items()}
-MODALS = "can could may might must ought shall should will would".split()
-CALLS = "act call contact demand donate fight help join protect share sign stop support urge vote write".split()
-PRONOUNS = "he her hers him his i it its me my our she their theirs them they us we".split()
-DEICTIC = "aforementioned currently former here latter now recently soon that then there these this those today tomorrow yesterday".split()
-ENTITY_LABELS = ("ORG", "PERSON", "GPE", "LOC", "DATE", "MONEY", "PERCENT", "LAW")
+MODALS = ["can", "could", "may", "might", "must", "shall", "should", "will", "would", "ought"]
+CALLS = ["join", "sign", "call", "contact", "vote", "act", "help", "stop", "support", "donate", "share", "fight", "demand", "urge", "write", "protect"]
+PRONOUNS = ["he", "she", "it", "they", "him", "her", "them", "his", "hers", "its", "their", "theirs", "i", "we", "me", "us", "my", "our"]
+DEICTIC = ["this", "that", "these", "those", "here", "there", "now", "then", "today", "yesterday", "tomorrow", "currently", "recently", "soon", "aforementioned", "latter", "former"]
+ENTITY_LABELS = ["ORG", "PERSON", "GPE", "LOC", "DATE", "MONEY", "PERCENT", "LAW"]
 
 
 def parse_dic(content: str) -> dict[str, list[str]]:
@@ -82,7 +81,8 @@ def pattern_of(words: list[str]) -> str:
 def token_rates(text: Column | str, lexicon: dict[str, list[str]] = MORAL_FOUNDATIONS, prefix: str = "mfd2_") -> dict[str, Column]:
     """For each category, the tokens that fit any of its patterns per 100 tokens. (L2, L4)"""
     found = tokens(text)
-    return {prefix + k: F.size(F.filter(found, lambda t, p=pattern_of(v): t.rlike(p))) / _n(found) * 100 for k, v in lexicon.items()}
+    fitting = lambda p: F.size(F.filter(found, lambda t: t.rlike(p)))
+    return {prefix + k: fitting(pattern_of(v)) / _n(found) * 100 for k, v in lexicon.items()}
 
 
 def register_features(text: Column | str) -> dict[str, Column]:
@@ -117,7 +117,7 @@ def polarity(text: Column | str, valence: dict[str, float] = VALENCE) -> dict[st
     """Compound, positive, negative and neutral shares from a valence list: a plain stand-in for a rule-based scorer."""
     found = tokens(text)
     good, bad = ([w for w, v in valence.items() if (v > 0) == up] for up in (True, False))
-    pos, neg = (F.size(F.filter(found, lambda x, w=w: x.isin(w))) for w in (good, bad))
+    pos, neg = F.size(F.filter(found, lambda x: x.isin(good))), F.size(F.filter(found, lambda x: x.isin(bad)))
     raw = (pos - neg) * 0.6 * 4
     return {"vader_compound": raw / F.sqrt(raw * raw + 15), "vader_pos": pos / _n(found), "vader_neg": neg / _n(found), "vader_neu": (F.size(found) - pos - neg) / _n(found)}
 

@@ -6,48 +6,41 @@ import ast
 import json
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import _text, strip
 
 ABSENT = "Not present"
-_FENCED = re.compile(r"`{3}(?:json)?(?P<body>.*?)`{3}", re.I | re.S)
+#: What matters for nesting: whole strings, which hide their braces, and braces.
+_NESTING = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[{}]', re.S)
 
 
 def first_json(text: str | None) -> str | None:
     """The first balanced {...} of a text, inside a code fence if there is one; open braces are closed; None without any."""
-    body = (text or "").strip()
-    if fenced := _FENCED.search(body):
-        body = fenced["body"].strip()
-    begin = body.find("{")
-    if begin < 0:
+    parts = re.split(r"(?i)```(?:json)?", text or "", maxsplit=1)
+    source = parts[1].partition("```")[0] if len(parts) > 1 and "```" in parts[1] else text or ""
+    _, brace, rest = source.strip().partition("{")
+    if not brace:
         return None
-    level, quoted, skip = 0, False, False
-    for place in range(begin, len(body)):
-        c = body[place]
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "{}":
-            level += 1 if c == "{" else -1
-            if not level:
-                return body[begin : place + 1]
-    return body[begin:] + "}" * level
-
-
-@F.pandas_udf("string")
+    tokens = [(m.end(), m[0]) for m in _NESTING.finditer(rest) if m[0] in "{}"]
+    depths = list(accumulate((1 if t == "{" else -1 for _, t in tokens), initial=1))
+    if 0 in depths:
+        return brace + rest[: tokens[depths.index(0) - 1][0]]
+    return brace + rest + "}" * depths[-1]
+
+
+@F.pandas_udf(StringType())
 def first_json_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(first_json)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def literal_json_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """A Python literal as JSON, None if it is none."""
 

@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 
 #: Blank for Python: Java's Unicode blanks and four control characters more.
 SPACE = r"[\s\x1c-\x1f]"
-_DOMAINS = "|".join("ca co com edu gov io ly net org st uk".split())
-URL = rf"(?U)https?://[^\s]+|www\.[^\s]+|\b\w+\.(?:{_DOMAINS})[^\s]*"
-#: Pictographs, dingbats, and the wide range from enclosed letters to enclosed ideographs, which holds CJK, kana and Hangul as well.
-EMOJI = r"[\x{1F300}-\x{1F64F}\x{1F680}-\x{1F8FF}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FAFF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+"
-PROMO = ("click here", "learn more", "for more info", "join us", "sign up", "subscribe", "visit our website")
+# What cleaning removes.
+URL_DOMAINS = ["com", "org", "net", "edu", "gov", "io", "co", "st", "ly", "ca", "uk"]
+EMOJI_RANGES = [
+    (0x1F600, 0x1F64F), (0x1F300, 0x1F5FF), (0x1F680, 0x1F6FF), (0x1F700, 0x1F77F), (0x1F780, 0x1F7FF),
+    (0x1F800, 0x1F8FF), (0x1F900, 0x1F9FF), (0x1FA00, 0x1FAFF), (0x02702, 0x027B0), (0x024C2, 0x1F251),
+]
+PROMO = ["click here", "learn more", "for more info", "join us", "sign up", "subscribe", "visit our website"]
+
+URL = rf"(?U)https?://[^\s]+|www\.[^\s]+|\b\w+\.(?:{'|'.join(URL_DOMAINS)})[^\s]*"
+#: The last range also holds CJK, kana and Hangul.
+EMOJI = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in EMOJI_RANGES) + "]+"
 
 
 def _text(c: Column | str) -> Column:
@@ -38,7 +44,7 @@ def normalize_label(c: Column | str) -> Column:
     return F.lower(collapse(c))
 
 
-def clean_post(c: Column | str, promo: tuple[str, ...] = PROMO) -> Column:
+def clean_post(c: Column | str, promo: list[str] = PROMO) -> Column:
     """Lower-cased post without urls, mentions, hashtags, emoji and promotional phrases, blanks collapsed; null as ''."""
     steps = [URL, r"(?U)@\w+", r"(?U)#\w+", EMOJI, *map(re.escape, promo)]
     return collapse(reduce(lambda t, p: F.regexp_replace(t, p, ""), steps, F.lower(_text(c))))
@@ -169,16 +175,22 @@ STOP_WORDS = {
 def detect_language(c: Column | str, words: dict[str, list[str]] = STOP_WORDS) -> Column:
     """The language most of whose stop words the text has, null if none; ties by code."""
     found = F.split(F.lower(_text(c)), r"(?U)[^\w]+")
-    ranked = [F.struct(F.size(F.filter(found, lambda w, own=own: w.isin(own))).alias("n"), F.lit(lang).alias("lang")) for lang, own in sorted(words.items(), reverse=True)]
+    among = lambda own: F.size(F.filter(found, lambda w: w.isin(own)))
+    ranked = [F.struct(among(own).alias("n"), F.lit(lang).alias("lang")) for lang, own in sorted(words.items(), reverse=True)]
     best = reduce(lambda a, b: F.when(b["n"] >= a["n"], b).otherwise(a), ranked)
     return F.when(best["n"] > 0, best["lang"])
 
 
 def keyword_pattern(keywords: list[str]) -> str | None:
-    """One pattern for all keywords, any case, with word boundaries where a keyword begins or ends in a word character."""
-    edge = lambda ch: r"\b" if re.match(r"\w", ch) else ""
-    parts = [edge(k[0]) + re.escape(k) + edge(k[-1]) for k in keywords if k]
-    return "(?iu)(?U)" + "|".join(parts) if parts else None
+    """One pattern for all keywords, any case, with word boundaries where a keyword begins or ends in a word character.
+
+    Keywords with the same kinds of ends share a group, whose boundaries are then tested once.
+    """
+    groups: dict[tuple[bool, bool], list[str]] = {}
+    for k in filter(None, keywords):
+        groups.setdefault((bool(re.match(r"\w", k)), bool(re.search(r"\w\Z", k))), []).append(re.escape(k))
+    sides = [f"{'(?<!\\w)' if left else ''}(?:{'|'.join(sorted(own))}){'(?!\\w)' if right else ''}" for (left, right), own in sorted(groups.items())]
+    return "(?iu)(?U)" + "|".join(sides) if sides else None
 
 
 def blocked(c: Column | str, keywords: list[str]) -> Column:

@@ -86,7 +86,7 @@ def ask(df: DataFrame, prompt: str, client: Client, policy: RetryPolicy | None =
                 got = list(pool.map(one, pdf.iloc[:, at]))
                 yield pdf.assign(reply=pd.Series([g[0] for g in got], index=pdf.index, dtype=object), error=pd.Series([g[1] for g in got], index=pdf.index, dtype=object))
 
-    return df.mapInPandas(each, df.select("*", F.lit("").alias("reply"), F.lit("").alias("error")).schema)
+    return df.mapInPandas(each, df.select("*", F.lit(None).cast("string").alias("reply"), F.lit(None).cast("string").alias("error")).schema)
 
 
 @dataclass(frozen=True)
@@ -174,7 +174,7 @@ def assign(items: DataFrame, claims: list[dict], client: Client, size: int = 10,
             assign_reason=["llm_claim_assign" if n else "llm_missing" for n in numbers], match_status=["matched" if n else "non_matching" if r else "no_output" for n, r in zip(numbers, raw, strict=True)],
         )
 
-    shape = items.select("*", *[F.lit("").alias(c) for c in ("assigned_cluster_id", "assigned_claim", "assigned_claim_segment", "llm_label", "assign_reason", "match_status")]).schema
+    shape = items.select("*", *[F.lit(None).cast("string").alias(c) for c in ("assigned_cluster_id", "assigned_claim", "assigned_claim_segment", "llm_label", "assign_reason", "match_status")]).schema
     return batches(items, size, order).groupBy("batch").applyInPandas(one, shape)
 
 

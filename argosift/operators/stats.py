@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _fraction(a: float, b: float, x: float) -> float:
@@ -43,7 +44,7 @@ def t_two_sided(t: float | None, df: float | None) -> float | None:
     return beta_inc(df / 2, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for t, df in batches:
         yield pd.Series([t_two_sided(a, b) for a, b in zip(t, df, strict=True)], dtype="float64")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +29,38 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def similar_pairs(df: DataFrame, threshold: float, group: str = "label", id: str = "id", vector: str = "vector") -> DataFrame:
-    """(group, a, b, sim) for pairs a < b of one group with a cosine of the threshold or more: an equi-join on the group."""
-    u = df.select(F.col(group).alias("group"), F.col(id).alias("id"), unit(vector).alias("u"))
-    x, y = u.alias("x"), u.alias("y")
-    pairs = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.id") < F.col("y.id")))
-    out = pairs.select(F.col("x.group").alias(group), F.col("x.id").alias("a"), F.col("y.id").alias("b"), dot("x.u", "y.u").alias("sim"))
-    return out.filter(F.col("sim") >= threshold)
+def similar_pairs(df: DataFrame, threshold: float, group: str = "label", id: str = "id", vector: str = "vector", block: int = 2000) -> DataFrame:
+    """(group, a, b, sim) for pairs a < b of one group with a cosine of the threshold or more, exactly.
+
+    Each group is cut into blocks of about `block` rows, so a large group is many tasks; two blocks meet in one task, where a matrix
+    product compares them, and only pairs that reach the threshold become rows. Rows move once for each block of their group.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kinds = dict(df.dtypes)
+    u = df.filter(F.col(id).isNotNull() & F.col(vector).isNotNull()).select(F.col(group).alias("g"), F.col(id).alias("id"), unit(vector).alias("u"))
+    sizes = u.groupBy(F.col("g").alias("__g")).agg((F.count(F.lit(1)) / block).cast("int").alias("last"))
+    placed = u.join(sizes, F.col("g").eqNullSafe(F.col("__g"))).select("g", "id", "u", "last", F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int").alias("own"))
+    both = placed.select("g", "id", "u", "own", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
+    cells = both.select("g", "id", "u", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m, ids = np.vstack([np.asarray(v, float) for v in pdf["u"]]), pdf["id"].to_numpy()
+        left, right = np.flatnonzero(pdf["own"].to_numpy() == key[1]), np.flatnonzero(pdf["own"].to_numpy() == key[2])
+        out = []
+        for at in range(0, len(left), 256):
+            rows = left[at : at + 256]
+            sims = m[rows] @ m[right].T
+            i, j = np.nonzero(sims >= threshold)
+            p, q, s = ids[rows[i]], ids[right[j]], sims[i, j]
+            keep = p < q if key[1] == key[2] else p != q
+            out.append(pd.DataFrame({"a": np.minimum(p, q)[keep], "b": np.maximum(p, q)[keep], "sim": s[keep]}))
+        found = pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "sim": []})
+        found.insert(0, group, key[0])
+        return found
+
+    return cells.groupBy("g", "x", "y").applyInPandas(compare, f"{group} {kinds[group]}, a {kinds[id]}, b {kinds[id]}, sim double")
 
 
 def _mean(vector: str) -> Column:
@@ -96,14 +123,28 @@ def centroid_merge(df: DataFrame, threshold: float = 0.8, label: str = "label",
 
 
 def _components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(l, root): least label reached, by min-label propagation until nothing changes; over groups, not rows."""
-    now = nodes.select("l", F.col("l").alias("root"))
+    """(l, root): the least label reached, over groups, not rows. Each round looks one link further and jumps to the root's root.
+
+    Every round is a table in the shared folder, so plans stay small and a lost executor costs one round at most.
+    """
+    from ..sources.files import shared_path
+
+    spark = nodes.sparkSession
+    at, rounds = f"{shared_path(spark)}/merge-{uuid.uuid4().hex[:12]}", 0
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{at}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
+
+    links, now = put(links, "links"), put(nodes.select("l", F.col("l").alias("root")), "0")
     while True:
-        seen = links.join(now.withColumnRenamed("l", "b"), "b").groupBy("a").agg(F.min("root").alias("root")).withColumnRenamed("a", "l").persist()
-        done = seen.join(now.withColumnRenamed("root", "old"), "l").filter("root <> old").isEmpty()
-        now = seen
-        if done:
-            return now
+        rounds += 1
+        near = links.join(now.withColumnRenamed("l", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        jump = now.select(F.col("l").alias("near"), F.col("root").alias("far"))
+        then = put(near.join(jump, "near").join(now.withColumnRenamed("l", "a"), "a").select(F.col("a").alias("l"), F.least("near", "far").alias("root"), F.col("root").alias("was")), str(rounds))
+        if then.filter("root <> was").isEmpty():
+            return then.select("l", "root")
+        now = then.select("l", "root")
 
 
 def log_ratio(a: Column | str, b: Column | str) -> Column:

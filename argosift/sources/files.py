@@ -116,3 +116,9 @@ def cached_embeddings(df: DataFrame, path: str, make, key: str = "id") -> DataFr
 def audit_rows(df: DataFrame) -> DataFrame:
     """(batch, retry, prompt, response) of calls, for an audit table in place of debug files."""
     return df.select("batch", F.lit(0).alias("retry") if "retry" not in df.columns else F.col("retry"), "prompt", "response")
+
+
+def shared_path(spark: SparkSession) -> str:
+    """The folder for scratch files that driver and executors share: spark.checkpoint.dir, or where that is unset one in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
