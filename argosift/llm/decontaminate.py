@@ -8,8 +8,6 @@ only possible start, which must leave the window inside the document; the words
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +25,18 @@ def words(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, keep: list[str], widths: list[int]) -> DataFrame:
-    """A row for each shingle of each width: `keep`, its place `at` (from 0) and its hash `key`; `keep` may name `words`, `n`."""
-    placed = docs.select(*keep, *[c for c in ("words", "n") if c not in keep], F.posexplode("words").alias("at", "w"))
-    rest = {1: [], 2: ["w1"], 3: ["w1", "w2"]}
-
-    def of(width: int) -> DataFrame:
-        inside = placed.filter(F.col("at") + width <= F.col("n"))
-        key = F.xxhash64("w", *[F.get("words", F.col("at") + i) for i in range(1, len(rest[width]) + 1)])
-        return inside.select(*keep, "at", key.alias("key"))
+    """A row for each shingle of each width: `keep`, its place `at` (from 0) and its hash `key`; `keep` may name `words`, `n`.
 
-    return reduce(DataFrame.unionByName, [of(w) for w in widths])
+    It has no union, so that a join with broadcast rows and what follows it run in one generated stage with the rows made here: `words` is
+    then read where it lies and isn't copied for every shingle of a long text.
+    """
+    placed = docs.select(*keep, *[c for c in ("words", "n") if c not in keep], F.posexplode("words").alias("at", "w"))
+    inside = lambda width: F.col("at") + width <= F.col("n")
+    key = lambda width: F.xxhash64("w", *[F.get("words", F.col("at") + i) for i in range(1, width)])
+    if len(widths) == 1:
+        return placed.filter(inside(widths[0])).select(*keep, "at", key(widths[0]).alias("key"))
+    every = F.array(*[F.when(inside(w), key(w)) for w in widths])
+    return placed.select(*keep, "at", F.explode(every).alias("key")).filter(F.col("key").isNotNull())
 
 
 class Decontaminator:
