@@ -111,7 +111,8 @@ class BloomLanguages:
         return cls(sorted((r[0], r[1]) for r in drawn.select("__text", "__lang").collect()))
 
     def score(self, docs: DataFrame, text: str = "text", to: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-        """`docs` with the predicted language and its score."""
+        """`docs` with the predicted language and its score, in the place of any columns of those names."""
+        docs = docs.drop(*to)
         at = docs.columns.index(text)
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,6 +127,7 @@ class Mixer:
         return self.mix(docs.select("doc_id", "text", "source")).select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__passes")).alias("taken"))
 
     def draw(self, docs: DataFrame) -> DataFrame:
-        """The mix itself: a row for each time a document is taken, with its `shard`, each shard in a hashed order of its own."""
+        """The mix itself: a row for each time a document is taken, with its `shard` (in the place of any column of that name), each shard in a hashed order of its own."""
+        docs = docs.drop("shard")
         mixed = self.mix(docs).select(*docs.columns, "__place", F.posexplode("__shards").alias("__time", "shard"))
         return mixed.repartition(self.shards, "shard").sortWithinPartitions("shard", F.xxhash64("__place", "__time", "shard")).drop("__place", "__time")

@@ -46,7 +46,8 @@ class PiiFinder:
     Anchors: at-signs, plus signs, digits, url schemes and identifier cues. Around an at-sign the parser grows left over the local part and
     right over the domain; at other anchors it parses to the right. Matches of a kind never overlap, and a candidate that fails its check is
     passed over as a whole, as a scan from left to right would. The method adds account numbers (IBAN with its check; a number after an
-    account cue), social security numbers after their cue, and urls with user and password; its spans never overlap those of the four base kinds.
+    account cue), social security numbers after their cue, and urls with user and password. Its spans don't overlap each other or those of
+    the four base kinds, but for urls, which hold the email that their user, password and host read as.
     """
 
     def __init__(self):
@@ -88,9 +89,9 @@ class PiiFinder:
         put("phone", self._runs(text, seen.get("plus", []), _PHONE, lambda s: 9 <= len(_NOT_DIGIT.sub("", s)) <= 15))
         if seen.keys() & {"ssn", "account", "iban", "scheme"}:
             base = sorted((a, b) for a, b, _ in found)
-            free = lambda a, b: all(y <= a or b <= x for x, y in base)
+            free = lambda a, b, holds: all(y <= a or b <= x or holds and a <= x and y <= b for x, y in base)
             extra: list[tuple[int, int, int]] = []
-            add = lambda kind, a, b: extra.append((a, b, KINDS.index(kind))) if free(a, b) and all(y <= a or b <= x for x, y, _ in extra) else None
+            add = lambda kind, a, b: extra.append((a, b, KINDS.index(kind))) if free(a, b, kind == "url") and all(y <= a or b <= x for x, y, _ in extra) else None
             for at in seen.get("iban", []):
                 if (m := _IBAN.search(text, at, at + 60)) and not any(map(str.isalnum, text[at : m.start()].replace("no", "").replace("nr", ""))):
                     self._iban(m, add)

@@ -75,7 +75,8 @@ class CompressionQuality:
         return cls(sample, prior=share)
 
     def score(self, docs: DataFrame, text: str = "text", to: str = "score") -> DataFrame:
-        """`docs` with the column `to`, a double from 0 to 1."""
+        """`docs` with the column `to`, a double from 0 to 1, in the place of any column of that name."""
+        docs = docs.drop(to)
         at = docs.columns.index(text)
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
