@@ -90,12 +90,14 @@ class NearDedup:
         reps = full.join(classes.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
         reps = reps.select(F.col("doc_id").alias("id"), "digest", F.col("n").cast("int").alias("n"), "sig", "keys")
         entries = reps.select("id", "n", F.explode("keys").alias("key"))
-        shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        members = scratch.put(entries.join(shared, "key"), "members")
+        shared = scratch.put(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared")
+        total = shared.agg(F.sum("size")).first()[0] or 0
+        members = scratch.put(attach(entries, shared, "key", "size", total), "members")
         rank = members.groupBy("id").agg(F.sum("size").alias("rank"))
         ranked = members.join(rank, "id")
         pivots = ranked.groupBy("key").agg(F.max(F.struct("rank", F.negative("id").alias("minus"), "n")).alias("p")).select("key", F.negative("p.minus").alias("pivot"), F.col("p.n").alias("pivot_n"))
-        near = members.join(pivots, "key").filter("id <> pivot")
+        pivots = scratch.put(pivots.join(shared.withColumnRenamed("size", "members"), "key"), "pivots")
+        near = attach(members, pivots, "key", "members", total).filter("id <> pivot")
         pairs = scratch.put(near.select("id", "n", "pivot", "pivot_n").distinct(), "pairs")
         active = scratch.put(pairs.select("id").union(pairs.select("pivot")).distinct(), "active")
         sets = reps.join(active, "id", "left_semi").select("id", "digest", "sig")
