@@ -10,6 +10,8 @@ The driver sees one row a source and one a block; there are at most `most_blocks
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,11 +54,13 @@ class Mixer:
     Weights repeat over the sources in code-point order, null last. All sources together give `share` times all sizes (words); a
     source's target stops at `most` times its size. Null texts have size 0 and are taken for no words. Repeated rows count each; they fall in
     one block. Ids may be null. Everything follows from the seed and the rows, so reruns agree.
+
+    A drawn shard of more than `piece_words` words is several tasks, each with a run of the shard's hashed order.
     """
 
-    def __init__(self, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, shards: int = 16, block_words: int = 20_000, most_blocks: int = 100_000, seed: int = 11):
+    def __init__(self, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, shards: int = 16, block_words: int = 20_000, most_blocks: int = 100_000, piece_words: int = 5_000_000, seed: int = 11):
         self.weights, self.share, self.most, self.shards = weights, share, most, shards
-        self.block_words, self.most_blocks, self.seed = block_words, most_blocks, seed
+        self.block_words, self.most_blocks, self.piece_words, self.seed = block_words, most_blocks, piece_words, seed
 
     def plan(self, docs: DataFrame) -> tuple[DataFrame, list[dict]]:
         """`docs` with __size and __block, and for each source its size, target, blocks."""
@@ -70,6 +74,10 @@ class Mixer:
 
     def mix(self, docs: DataFrame) -> DataFrame:
         """`docs` with __size, __source_size, __target, __passes (times the document is taken), __shards (one for each time)."""
+        return self._mix(docs)[0]
+
+    def _mix(self, docs: DataFrame) -> tuple[DataFrame, float]:
+        """The same, and the words of all targets."""
         spark = docs.sparkSession
         scratch = Scratch(spark, "mix")
         sized, sources = self.plan(docs)
@@ -120,7 +128,7 @@ class Mixer:
         marked = joined.filter("__rest is null").withColumn("__over", F.lit(None).cast("boolean")).unionByName(inside.join(over, ["__order", "__block", "__place"], "left"))
         shards = F.expr("transform(filter(__draws, d -> not coalesce(__over, false) or d.p <> __cut), d -> d.shard)")
         marked = marked.withColumn("__shards", F.coalesce(shards, F.expr("cast(array() as array<int>)"))).withColumn("__passes", F.size("__shards"))
-        return marked.select(*docs.columns, "__size", "__source_size", "__target", "__passes", "__shards", "__place")
+        return marked.select(*docs.columns, "__size", "__source_size", "__target", "__passes", "__shards", "__place"), sum(x["target"] for x in sources)
 
     def report(self, docs: DataFrame) -> DataFrame:
         """(doc_id, size, source_size, target, taken), a row for each row of `docs`."""
@@ -128,6 +136,9 @@ class Mixer:
 
     def draw(self, docs: DataFrame) -> DataFrame:
         """The mix itself: a row for each time a document is taken, with its `shard` (in the place of any column of that name), each shard in a hashed order of its own."""
-        docs = docs.drop("shard")
-        mixed = self.mix(docs).select(*docs.columns, "__place", F.posexplode("__shards").alias("__time", "shard"))
-        return mixed.repartition(self.shards, "shard").sortWithinPartitions("shard", F.xxhash64("__place", "__time", "shard")).drop("__place", "__time")
+        mixed, total = self._mix(docs.drop("shard"))
+        mixed = mixed.select(*[c for c in docs.columns if c != "shard"], "__place", F.posexplode("__shards").alias("__time", "shard"))
+        pieces = max(1, math.ceil(total / self.shards / self.piece_words))
+        order = F.xxhash64("__place", "__time", "shard")
+        placed = mixed.withColumn("__order", F.shiftrightunsigned(order, 1)).withColumn("__piece", F.shiftright(F.shiftrightunsigned(order, 48) * pieces, 16))
+        return placed.repartition(self.shards * pieces, "shard", "__piece").sortWithinPartitions("shard", "__order").drop("__place", "__time", "__order", "__piece")
