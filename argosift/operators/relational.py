@@ -189,3 +189,32 @@ def cluster_document(df: DataFrame, top: int = 10) -> DataFrame:
     whole = df.agg(F.count(F.lit(1)).alias("n_points"), F.countDistinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))).alias("n_clusters"), F.count_if(F.col("cluster_id") < 0).alias("n_outliers"))
     clusters = each.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "size", "avg_membership_prob", "representatives"))).alias("clusters"))
     return whole.crossJoin(clusters).select(F.to_json(F.struct("n_points", "n_clusters", "n_outliers", "clusters")).alias("document"))  # one row each
+
+
+def drop_errors(df: DataFrame, column: str = "error") -> DataFrame:
+    """Rows without an error, all rows where there is no such column."""
+    return df.filter(F.trim(F.coalesce(F.col(column), F.lit(""))) == "") if column in df.columns else df
+
+
+def drop_absent(df: DataFrame, column: str, word: str = "Not present") -> DataFrame:
+    """Rows whose column doesn't say that there is nothing; every other column, the row index too, stays."""
+    return df.filter(F.lower(F.trim(F.coalesce(F.col(column), F.lit("")))) != word.lower())
+
+
+def drop_small(df: DataFrame, cluster: str = "cluster_id", least: int = 1, noise: int = -1) -> DataFrame:
+    """Rows of clusters with `least` members and more, noise left out. (F16)"""
+    clustered = df.filter(F.col(cluster) != noise)
+    large = clustered.groupBy(cluster).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least)
+    return clustered.join(large.select(cluster), cluster, "left_semi")
+
+
+def pick_rows(df: DataFrame, group: list[str], most: int, by: Column | None = None, key: str = "row_index", seed: int = 42) -> DataFrame:
+    """At most `most` rows of each group: the first by `by`, or a seeded random choice without it."""
+    return top_k(df, group, most, F.xxhash64(F.col(key), F.lit(seed)) if by is None else by, key, "__pick").drop("__pick")
+
+
+def available(df: DataFrame, metrics: list[str]) -> list[str]:
+    """The metrics that have a value in any row, by one aggregate."""
+    there = [m for m in metrics if m in df.columns]
+    found = df.agg(*[F.count(F.nanvl(F.col(m).cast("double"), F.lit(None))).alias(m) for m in there]).first() if there else {}
+    return [m for m in there if found[m]]

@@ -195,3 +195,30 @@ def numeric_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     names = table(spark, sf_dir, "documents").select("source").distinct().withColumn("num", F.substring("source", 4, 9).try_cast("double"))
     return names.withColumn("place", F.row_number().over(Window.orderBy(F.col("num").asc_nulls_last(), "source")))  # a row a source
+
+
+@query("SELECT doc_id FROM documents WHERE lower(trim(coalesce(lang, ''))) <> 'de' AND trim(coalesce(source, '')) <> ''")
+def usable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rows without an error and without the word for nothing."""
+    docs = table(spark, sf_dir, "documents").withColumn("error", F.when(F.trim(F.coalesce("source", F.lit(""))) == "", "no source"))
+    return R.drop_absent(R.drop_errors(docs), "lang", "DE").select("doc_id")
+
+
+@query("WITH s AS (SELECT label FROM embeddings WHERE label <> 0 GROUP BY label HAVING count(*) >= 50), r AS (SELECT vec_id AS id, label, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS k FROM embeddings WHERE label IN (SELECT label FROM s)) SELECT id, label FROM r WHERE k <= 7")
+def picked_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven first members of every cluster that is large enough; cluster 0 stands for noise."""
+    large = R.drop_small(ranked_vectors(spark, sf_dir), "label", 50, noise=0)
+    return R.pick_rows(large, ["label"], 7, F.col("prob").desc(), "id").select("id", "label")
+
+
+@query()
+def sampled_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded choice of seven members of each cluster. (No SQL: Spark's hash.)"""
+    return R.pick_rows(ranked_vectors(spark, sf_dir), ["label"], 7, key="id").select("id", "label")
+
+
+@query("SELECT source, count(n_chars) AS n_chars FROM documents GROUP BY source")
+def available_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """only metrics that have values are counted; missing columns count as empty."""
+    docs = schemas.with_columns_of(table(spark, sf_dir, "documents"), {"fluency": F.lit(None).cast("double")})
+    return docs.groupBy("source").agg(*[F.count(m).alias(m) for m in R.available(docs, ["n_chars", "fluency", "absent"])])
