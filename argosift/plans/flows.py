@@ -52,14 +52,14 @@ def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(posts.schema).json(path)
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured Streaming: events by hour and type, with a watermark."""
     path = _path(spark, "windows")
     kept = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(kept).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = resume.windowed_counts(timed, "ts", "event_type").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+    counts = resume.windowed_counts(timed, "ts", "event_type").select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
     put = lambda batch, _id: batch.write.mode("overwrite").parquet(path)
     counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path)

@@ -123,13 +123,13 @@ _SEGMENTS = "claims AS (SELECT * FROM (VALUES ('a', 'Pro-Energy', '**\"one\"**')
 
 
 @query(f"""WITH {STANCE_POSTS}, {_SEGMENTS}, n AS (SELECT lower(trim(segment)) AS seg, cluster_id, trim(cluster_claim, '*"') AS cluster_claim, row_number() OVER (PARTITION BY lower(trim(segment)) ORDER BY cluster_id) AS ordinal FROM claims)
-SELECT p.cid, n.cluster_id, n.cluster_claim, n.ordinal::INTEGER AS ordinal, CASE WHEN n.seg IS NULL THEN 'no_claims_for_segment' END AS assign_reason FROM stance_posts p LEFT JOIN n ON lower(trim(coalesce(p.stance, ''))) = n.seg""")
+SELECT p.cid, n.cluster_id, n.cluster_claim, n.ordinal::VARCHAR AS ordinal, CASE WHEN n.seg IS NULL THEN 'no_claims_for_segment' END AS assign_reason FROM stance_posts p LEFT JOIN n ON lower(trim(coalesce(p.stance, ''))) = n.seg""")
 def segment_restricted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each post with the numbered claims of its segment, or the reason why there are none."""
     claims = spark.createDataFrame([("a", "Pro-Energy", '**"one"**'), ("b", " pro-energy", "two"), ("c", "Pro-Climate", "three")], "cluster_id string, segment string, cluster_claim string")
     some, none = R.segment_candidates(schemas.stance_posts(spark, sf_dir).select("cid", F.col("stance").alias("segment")), claims)
     both = R.union_tagged({"some": some, "none": none}, "which")
-    return both.select("cid", "cluster_id", "cluster_claim", "ordinal", "assign_reason")
+    return both.select("cid", "cluster_id", "cluster_claim", F.col("ordinal").cast("string").alias("ordinal"), "assign_reason")
 
 
 @query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 20 AS batch FROM documents")

@@ -56,11 +56,11 @@ def toulmin_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies(spark, sf_dir).agg(rate(there("claim"), "claim_rate"), rate(there("warrant"), "warrant_rate"), rate(~there("ground"), "no_ground_rate"), rate(there("claim") & ~there("ground"), "claim_no_ground_rate"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_SHAPES_SQL} SELECT doc_id, CASE WHEN doc_id % 8 IN (0, 1, 2, 3) THEN 'No Claim' END AS claim, CASE WHEN doc_id % 8 = 3 THEN least(doc_id % 150, 100)::INTEGER WHEN doc_id % 8 IN (0, 1, 2) THEN 0 END AS confidence FROM replies""")
+@query(f"""WITH {_SHAPES_SQL} SELECT doc_id, CASE WHEN doc_id % 8 IN (0, 1, 2, 3) THEN 'No Claim' END AS claim, CASE WHEN doc_id % 8 = 3 THEN least(doc_id % 150, 100)::VARCHAR WHEN doc_id % 8 IN (0, 1, 2) THEN '0' END AS confidence FROM replies""")
 def claim_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags from the first JSON object of a reply, in a fence or cut off as it may be."""
     flag = P.claim_flag("js")
-    return replies(spark, sf_dir).select("doc_id", P.first_json_udf("reply").alias("js")).select("doc_id", flag["claim"].alias("claim"), flag["confidence"].alias("confidence"))
+    return replies(spark, sf_dir).select("doc_id", P.first_json_udf("reply").alias("js")).select("doc_id", flag["claim"].alias("claim"), flag["confidence"].cast("string").alias("confidence"))
 
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
@@ -99,23 +99,23 @@ def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH l AS (SELECT doc_id, {_LINE_SQL} AS line FROM documents)
-SELECT doc_id, CASE line WHEN '3' THEN 3 WHEN '1. 5' THEN 5 WHEN '[2] 7' THEN 7 WHEN '- 4' THEN 4 WHEN '12 because' THEN 12 END AS choice, CASE WHEN line IN ('3.', 'none') THEN 'non_matching' ELSE 'matched' END AS match_status FROM l""")
+SELECT doc_id, CASE line WHEN '3' THEN '3' WHEN '1. 5' THEN '5' WHEN '[2] 7' THEN '7' WHEN '- 4' THEN '4' WHEN '12 because' THEN '12' END AS choice, CASE WHEN line IN ('3.', 'none') THEN 'non_matching' ELSE 'matched' END AS match_status FROM l""")
 def parse_batch_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P5: the choices of a batch reply, one list mark dropped from each line."""
     lines = _batches(spark, sf_dir).select(F.posexplode("ids").alias("i", "doc_id"), P.reply_lines("reply", F.size("ids")).alias("lines")).select("doc_id", F.get("lines", F.col("i")).alias("line"))
     claim = F.when(P.batch_number(F.col("line")).isNotNull(), "claim")
-    return lines.select("doc_id", P.batch_number(F.col("line")).alias("choice"), P.match_status(F.col("line"), claim).alias("match_status"))
+    return lines.select("doc_id", P.batch_number(F.col("line")).cast("string").alias("choice"), P.match_status(F.col("line"), claim).alias("match_status"))
 
 
 @query(f"""WITH l AS (SELECT doc_id, {_LINE_SQL} AS line FROM documents), n AS (SELECT doc_id, try_cast(nullif(regexp_extract(line, '^\\s*(\\d+)', 1), '') AS INTEGER) AS number FROM l)
-SELECT n.doc_id, number, b.item_id AS assigned FROM n LEFT JOIN benchmark b ON b.item_id = number""")
+SELECT n.doc_id, number::VARCHAR AS number, b.item_id::VARCHAR AS assigned FROM n LEFT JOIN benchmark b ON b.item_id = number""")
 def recover_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assignments recovered from a batch's prompt and reply."""
     shown = _batches(spark, sf_dir).withColumn("prompt", T.numbered(F.transform("ids", lambda i: i.cast("string")), "{i}. [cid={x}] text"))
     cids = P.reply_lines("reply", F.size("ids"))
     lines = shown.select(F.posexplode(T.cid_of_lines("prompt")).alias("i", "cid"), cids.alias("lines")).select(F.col("cid").cast("long").alias("doc_id"), P.plain_number(F.get("lines", F.col("i"))).alias("number"))
     claims = table(spark, sf_dir, "benchmark").select("item_id")
-    return lines.join(claims, F.col("item_id") == F.col("number"), "left").select("doc_id", "number", F.col("item_id").alias("assigned"))
+    return lines.join(claims, F.col("item_id") == F.col("number"), "left").select("doc_id", F.col("number").cast("string").alias("number"), F.col("item_id").cast("string").alias("assigned"))
 
 
 @query("""WITH l AS (SELECT doc_id, doc_id // 4 AS batch, CASE doc_id % 3 WHEN 0 THEN 'RELEVANT' WHEN 1 THEN 'IRRELEVANT' END AS label FROM documents),
@@ -146,12 +146,12 @@ def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", found["atomicity"].alias("atomicity"), found["faithfulness"].alias("faithfulness"))
 
 
-@query("""SELECT conv_id, turn, coalesce(text, '') AS content, CASE lower(trim(coalesce(role, ''))) WHEN 'user' THEN 'Yes' WHEN 'system' THEN 'No' ELSE 'Skip' END AS choice, CASE role WHEN 'user' THEN true WHEN 'system' THEN false END AS stored FROM conversations""")
+@query("""SELECT conv_id, turn, coalesce(text, '') AS content, CASE lower(trim(coalesce(role, ''))) WHEN 'user' THEN 'Yes' WHEN 'system' THEN 'No' ELSE 'Skip' END AS choice, CASE role WHEN 'user' THEN 'true' WHEN 'system' THEN 'false' END AS stored FROM conversations""")
 def chat_and_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chat completion's message, and annotation choices to and from stored values."""
     reply = F.to_json(F.struct(F.array(F.struct(F.struct(F.coalesce("text", F.lit("")).alias("content")).alias("message"))).alias("choices")))
     choice = P.value_to_choice(F.when(F.col("role") == "user", "TRUE").when(F.col("role") == "system", "no").otherwise("?"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", P.chat_content(reply).alias("content"), choice.alias("choice"), P.choice_to_value(choice, booleans=True).alias("stored"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", P.chat_content(reply).alias("content"), choice.alias("choice"), P.choice_to_value(choice, booleans=True).cast("string").alias("stored"))
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'topic' WHEN 1 THEN 'Unknown' WHEN 2 THEN 'topic' END AS topic, CASE doc_id % 4 WHEN 0 THEN 'a|b' WHEN 1 THEN 'c|d' WHEN 2 THEN '' END AS keywords FROM documents")
