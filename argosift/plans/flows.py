@@ -57,7 +57,7 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured Streaming: events by hour and type, with a watermark."""
     path = _path(spark, "windows")
     kept = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(kept).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(kept).parquet(f"{sf_dir}/event[s].parquet")
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     counts = resume.windowed_counts(timed, "ts", "event_type").select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
     put = lambda batch, _id: batch.write.mode("overwrite").parquet(path)
@@ -70,7 +70,7 @@ def streamed_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S16, W13 as a stream: each key appended once, replays included."""
     path = _path(spark, "stream")
     docs = table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(docs).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(docs).parquet(f"{sf_dir}/document[s].parquet")
     posts = stream.select(F.col("doc_id").cast("string").alias("cid"), "text").filter("text IS NOT NULL")
     for _ in range(2):  # a replay from the start adds nothing
         resume.append_once(posts, path, f"{path}-checkpoint-{uuid.uuid4().hex[:6]}").awaitTermination()
