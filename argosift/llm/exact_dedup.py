@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,11 @@ from pyspark.sql import functions as F
 from .common import attach, text_of
 
 
+def _forget(spark: SparkSession, name: str) -> None:
+    with contextlib.suppress(Exception):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 class DigestIndex:
     """A table (digest, keep_id, n, batch), bucketed and sorted by the SHA-256 digest of a text.
 
@@ -18,13 +25,15 @@ class DigestIndex:
     has brought the text, whose row then stays.
 
     Null texts count as empty, and empty texts are equal to each other. Rows with a null doc_id lose against others; among rows
-    that tie in doc_id and text exactly one stays. An empty batch gives no rows. Columns besides doc_id and text are ignored, by
+    that tie in doc_id and text exactly one stays. An index without a name lasts as long as the session. An empty batch gives no rows. Columns besides doc_id and text are ignored, by
     whatever name.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.name = name or f"argosift_digests_{uuid.uuid4().hex[:12]}"
+        if not name:
+            atexit.register(_forget, spark, self.name)
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def exists(self) -> bool:
