@@ -72,13 +72,17 @@ class Scratch:
 HOT_SHARE = 512
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+#: Small rows (ids, hashes) that one task takes in a second: where no group can have more, none is treated as hot.
+SMALL_ROWS = 100_000
+
+
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, floor: int = 1000) -> DataFrame:
     """Inner join of `rows` with `groups`, one row per `key`, of which `size` is the number of `rows` it gets of `total`.
 
     Groups with more than total / HOT_SHARE rows, at most HOT_SHARE of them by counting, are broadcast, so their rows stay where
-    they are; all others go by a shuffled join in which no key is large.
+    they are; all others go by a shuffled join in which no key is large. Groups with `floor` rows or fewer never count as hot.
     """
-    least = max(1000, total // HOT_SHARE)
+    least = max(floor, total // HOT_SHARE)
     if total <= least:
         return rows.join(groups, key)
     hot = groups.filter(F.col(size) > least)

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, attach
+from .common import SMALL_ROWS, Scratch, attach
 
 
 def _large(edges: DataFrame, total: int) -> DataFrame:
     """Each node's larger neighbours point to the least of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("size")).filter("size > 0")
-    return attach(both.filter("v > u"), least, "u", "size", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("size")).filter("size > 0").hint("merge")
+    return attach(both.filter("v > u"), least, "u", "size", total, SMALL_ROWS).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame, total: int) -> DataFrame:
     """Each node and its smaller neighbours point to the least of them; edges go from the larger to the smaller end."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size"))
-    down = attach(edges, least, "u", "size", total)
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).hint("merge")
+    down = attach(edges, least, "u", "size", total, SMALL_ROWS)
     return down.select("u", F.col("m").alias("v")).unionByName(down.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u > v").distinct()
 
 

@@ -8,9 +8,9 @@ Steps, none of which gathers a group in one task or lists all pairs of a group:
    it. Pairs whose sizes or signatures exclude the similarity go (the signature bound lies five standard errors below it); the
    rest are verified on the full sets. Pairs: at most `bands` a class.
 3. Connected components. A bucket whose members lie in one component needs nothing more.
-4. For the other buckets the rest of the links is found exactly. Classes joined through any pair of step 2 form a region. A class
-   with too many shingles that no other class of its region has can link with none, and drops out. Of the rest, classes outside a
-   region's largest component are queries against all of them, in blocks of bounded size spread over tasks by inverted lists.
+4. For the other buckets the rest of their links is found exactly. Components that share a bucket form a region. A class with too many
+   shingles that no other class of its region has can link with none, and drops out. In each bucket, classes outside the largest
+   component left there are queries against all of the bucket, in blocks of bounded size spread over tasks by inverted lists.
 5. Connected components of all links.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, attach
+from .common import SMALL_ROWS, Scratch, attach
 from .components import connected_components
 from .shingles import MinHasher, set_digest, shingle_set, word_hashes
 
@@ -92,12 +92,12 @@ class NearDedup:
         entries = reps.select("id", "n", F.explode("keys").alias("key"))
         shared = scratch.put(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared")
         total = shared.agg(F.sum("size")).first()[0] or 0
-        members = scratch.put(attach(entries, shared, "key", "size", total), "members")
+        members = scratch.put(attach(entries, shared, "key", "size", total, SMALL_ROWS), "members")
         rank = members.groupBy("id").agg(F.sum("size").alias("rank"))
         ranked = members.join(rank, "id")
         pivots = ranked.groupBy("key").agg(F.max(F.struct("rank", F.negative("id").alias("minus"), "n")).alias("p")).select("key", F.negative("p.minus").alias("pivot"), F.col("p.n").alias("pivot_n"))
         pivots = scratch.put(pivots.join(shared.withColumnRenamed("size", "members"), "key"), "pivots")
-        near = attach(members, pivots, "key", "members", total).filter("id <> pivot")
+        near = attach(members, pivots, "key", "members", total, SMALL_ROWS).filter("id <> pivot")
         pairs = scratch.put(near.select("id", "n", "pivot", "pivot_n").distinct(), "pairs")
         active = scratch.put(pairs.select("id").union(pairs.select("pivot")).distinct(), "active")
         sets = reps.join(active, "id", "left_semi").select("id", "digest", "sig")
@@ -113,7 +113,7 @@ class NearDedup:
         comp = lambda side: F.coalesce(F.col(f"{side}.component"), F.col(f"t.{'id' if side == 'x' else 'pivot'}"))
         open_ = pairs.alias("t").join(parts.alias("x"), F.col("t.id") == F.col("x.id"), "left").join(parts.alias("y"), F.col("t.pivot") == F.col("y.id"), "left").select(comp("x").alias("a"), comp("y").alias("b"))
         open_ = scratch.put(open_.filter("a <> b").distinct(), "open")
-        more = self._rest(open_, parts, tokens, scratch)
+        more = None if open_.isEmpty() else self._rest(open_, members, parts, tokens, total, scratch)
         if more is not None:
             parts = connected_components(links.unionByName(more), scratch)
 
@@ -136,23 +136,29 @@ class NearDedup:
         common = F.size(F.array_intersect("tokens", "pivot_tokens")).cast("long")
         return both.filter(agree).withColumn("common", common).filter(self.linked("common", "n", "pivot_n")).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
 
-    def _rest(self, open_: DataFrame, parts: DataFrame, tokens: DataFrame, scratch: Scratch) -> DataFrame | None:
-        """Links between components that step 2 paired without one, exactly; None without such components."""
+    def _rest(self, open_: DataFrame, members: DataFrame, parts: DataFrame, tokens: DataFrame, total: int, scratch: Scratch) -> DataFrame:
+        """Links between components that meet in a bucket, exactly. `open_`: pairs of components; `total`: rows of `members`."""
         regions = connected_components(open_, scratch).select(F.col("id").alias("comp"), F.col("component").alias("region"))
-        placed = tokens.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "n", "tokens").join(regions, "comp")
-        placed = scratch.put(placed, "open")
-        owned = placed.select("region", "id", F.explode("tokens").alias("token")).groupBy("region", "token").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("id")).filter("df = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-        left = placed.join(owned, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(f"100 * (n - own) >= {self.percent} * n")
-        left = scratch.put(left, "left")
-        sizes = left.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("size"))
-        largest = sizes.groupBy("region").agg(F.sum("size").alias("all"), F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-        largest = scratch.put(largest.select("region", F.col("top.comp").alias("top"), F.expr(f"cast(all div {self.block} as int)").alias("last_b"), F.expr(f"cast((all - top.size) div {self.block} as int)").alias("last_q")), "regions")
-        if largest.isEmpty():
-            return None
-        rows = left.join(largest, "region")
-        blocks = rows.withColumn("vb", F.pmod(F.hash("id"), F.col("last_b") + 1)).select("region", "vb", F.explode(F.expr("sequence(0, last_q)")).alias("qb"), "id", "comp", "n", "tokens")
-        queries = rows.filter("comp <> top").withColumn("qb", F.pmod(F.hash("id"), F.col("last_q") + 1)).select("region", F.explode(F.expr("sequence(0, last_b)")).alias("vb"), "qb", "id", "comp", "n", "tokens")
-        queries = queries.toDF("q_region", "q_vb", "q_qb", "q_id", "q_comp", "q_n", "q_tokens")
+        placed = scratch.put(members.select("key", "id").join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "placed")
+        buckets = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size")
+        placed = scratch.put(attach(placed, buckets, "key", "size", total, SMALL_ROWS).drop("size"), "open")
+
+        owners = scratch.put(placed.select("id", "comp").distinct(), "owners")
+        comps = owners.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).join(regions, "comp")
+        within = attach(owners, comps, "comp", "size", total, SMALL_ROWS).select("id", "region")
+        sets = scratch.put(tokens.select("id", "n", "tokens").join(within, "id"), "region")
+        owned = sets.select("region", "id", F.explode("tokens").alias("token")).groupBy("region", "token").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("id")).filter("df = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+        left = sets.join(owned, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(f"100 * (n - own) >= {self.percent} * n")
+        left = scratch.put(left.select("id", "n", "tokens"), "left")
+
+        rows = scratch.put(placed.join(left.select("id"), "id", "left_semi"), "rows")
+        sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
+        tops = sizes.groupBy("key").agg(F.sum("size").alias("all"), F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+        tops = scratch.put(tops.select("key", "all", F.col("top.comp").alias("top"), F.expr(f"cast(all div {self.block} as int)").alias("last_b"), F.expr(f"cast((all - top.size) div {self.block} as int)").alias("last_q")), "tops")
+        rows = scratch.put(attach(rows, tops, "key", "all", total, SMALL_ROWS), "rows")
+        blocks = rows.withColumn("vb", F.pmod(F.hash("id"), F.col("last_b") + 1)).select("key", "vb", F.explode(F.expr("sequence(0, last_q)")).alias("qb"), "id", "comp").join(left, "id")
+        queries = rows.filter("comp <> top").withColumn("qb", F.pmod(F.hash("id"), F.col("last_q") + 1)).select("key", F.explode(F.expr("sequence(0, last_b)")).alias("vb"), "qb", "id", "comp").join(left, "id")
+        queries = queries.select("key", "vb", "qb", "id", "comp", "n", "tokens").toDF("q_key", "q_vb", "q_qb", "q_id", "q_comp", "q_n", "q_tokens")
         percent = self.percent
 
         def compare(q, v):
@@ -175,8 +181,7 @@ class NearDedup:
                     found += [(int(qid), int(x)) for x in ids[good][first]]
             return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-        keys = ["region", "qb", "vb"]
-        return scratch.put(queries.groupBy("q_region", "q_qb", "q_vb").cogroup(blocks.groupBy(*keys)).applyInPandas(compare, "a long, b long"), "more")
+        return scratch.put(queries.groupBy("q_key", "q_qb", "q_vb").cogroup(blocks.groupBy("key", "qb", "vb")).applyInPandas(compare, "a long, b long"), "more")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
