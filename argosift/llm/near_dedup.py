@@ -9,8 +9,9 @@ Steps, none of which gathers a group in one task or lists all pairs of a group:
    rest are verified on the full sets. Pairs: at most `bands` a class.
 3. Connected components. A bucket whose members lie in one component needs nothing more.
 4. For the other buckets the rest of their links is found exactly. Components that share a bucket form a region. A class with too many
-   shingles that no other class of its region has can link with none, and drops out. In each bucket, classes outside the largest
-   component left there are queries against all of the bucket, in blocks of bounded size spread over tasks by inverted lists.
+   shingles that no other class of its region has can link with none, and drops out. Of the rest, classes outside the largest
+   component are queries against all others, within the whole region or within each of its buckets, whichever takes fewer comparisons
+   (regions may join up as a corpus grows; buckets don't). Queries go in blocks of bounded size spread over tasks by inverted lists.
 5. Connected components of all links.
 """
 
@@ -149,16 +150,22 @@ class NearDedup:
         sets = scratch.put(tokens.select("id", "n", "tokens").join(within, "id"), "region")
         owned = sets.select("region", "id", F.explode("tokens").alias("token")).groupBy("region", "token").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("id")).filter("df = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
         left = sets.join(owned, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(f"100 * (n - own) >= {self.percent} * n")
-        left = scratch.put(left.select("id", "n", "tokens"), "left")
-
-        rows = scratch.put(placed.join(left.select("id"), "id", "left_semi"), "rows")
-        sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-        tops = sizes.groupBy("key").agg(F.sum("size").alias("all"), F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-        tops = scratch.put(tops.select("key", "all", F.col("top.comp").alias("top"), F.expr(f"cast(all div {self.block} as int)").alias("last_b"), F.expr(f"cast((all - top.size) div {self.block} as int)").alias("last_q")), "tops")
-        rows = scratch.put(attach(rows, tops, "key", "all", total, SMALL_ROWS), "rows")
-        blocks = rows.withColumn("vb", F.pmod(F.hash("id"), F.col("last_b") + 1)).select("key", "vb", F.explode(F.expr("sequence(0, last_q)")).alias("qb"), "id", "comp").join(left, "id")
-        queries = rows.filter("comp <> top").withColumn("qb", F.pmod(F.hash("id"), F.col("last_q") + 1)).select("key", F.explode(F.expr("sequence(0, last_b)")).alias("vb"), "qb", "id", "comp").join(left, "id")
-        queries = queries.select("key", "vb", "qb", "id", "comp", "n", "tokens").toDF("q_key", "q_vb", "q_qb", "q_id", "q_comp", "q_n", "q_tokens")
+        left = scratch.put(left.select("id", "region", "n", "tokens"), "left")
+
+        inside = left.select("id", "region")
+        rows = placed.join(inside, "id").select("region", "id", "comp", F.lit(1).alias("kind"), F.xxhash64(F.lit(1), "key").alias("unit"))
+        rows = scratch.put(rows.unionByName(owners.join(inside, "id").select("region", "id", "comp", F.lit(0).alias("kind"), F.xxhash64(F.lit(0), "region").alias("unit"))), "rows")
+        sizes = rows.groupBy("region", "kind", "unit", "comp").agg(F.count(F.lit(1)).alias("size"))
+        tops = sizes.groupBy("region", "kind", "unit").agg(F.sum("size").alias("all"), F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+        tops = scratch.put(tops.withColumn("cost", F.expr("all * (all - top.size + 64.0)")), "tops")
+        costs = tops.groupBy("region").agg(F.sum(F.expr("if(kind = 0, cost, 0)")).alias("whole"), F.sum(F.expr("if(kind = 1, cost, 0)")).alias("parts"))
+        kinds = costs.select("region", F.expr(f"if(whole <= greatest(parts, {self.block**2}), 0, 1)").alias("kind"))
+        tops = tops.join(kinds, ["region", "kind"]).select("unit", "all", F.col("top.comp").alias("top"), F.expr(f"cast(all div {self.block} as int)").alias("last_b"), F.expr(f"cast((all - top.size) div {self.block} as int)").alias("last_q"))
+        rows = scratch.put(attach(rows.select("unit", "id", "comp"), scratch.put(tops, "tops"), "unit", "all", total, SMALL_ROWS), "rows")
+        sets = left.select("id", "n", "tokens")
+        blocks = rows.withColumn("vb", F.pmod(F.hash("id"), F.col("last_b") + 1)).select("unit", "vb", F.explode(F.expr("sequence(0, last_q)")).alias("qb"), "id", "comp").join(sets, "id")
+        queries = rows.filter("comp <> top").withColumn("qb", F.pmod(F.hash("id"), F.col("last_q") + 1)).select("unit", F.explode(F.expr("sequence(0, last_b)")).alias("vb"), "qb", "id", "comp").join(sets, "id")
+        queries = queries.select("unit", "vb", "qb", "id", "comp", "n", "tokens").toDF("q_unit", "q_vb", "q_qb", "q_id", "q_comp", "q_n", "q_tokens")
         percent = self.percent
 
         def compare(q, v):
@@ -181,7 +188,7 @@ class NearDedup:
                     found += [(int(qid), int(x)) for x in ids[good][first]]
             return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-        return scratch.put(queries.groupBy("q_key", "q_qb", "q_vb").cogroup(blocks.groupBy("key", "qb", "vb")).applyInPandas(compare, "a long, b long"), "more")
+        return scratch.put(queries.groupBy("q_unit", "q_qb", "q_vb").cogroup(blocks.groupBy("unit", "qb", "vb")).applyInPandas(compare, "a long, b long"), "more")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
