@@ -25,8 +25,8 @@ class DigestIndex:
     has brought the text, whose row then stays.
 
     Null texts count as empty, and empty texts are equal to each other. Rows with a null doc_id lose against others; among rows
-    that tie in doc_id and text exactly one stays. An index without a name lasts as long as the session. An empty batch gives no rows. Columns besides doc_id and text are ignored, by
-    whatever name.
+    that tie in doc_id and text exactly one stays. An index without a name lasts as long as the session. An empty batch gives no
+    rows. Columns besides doc_id and text are ignored, by whatever name.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
