@@ -94,12 +94,20 @@ def text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT item_id, substr(regexp_replace(lower(text), '[^a-z ]', '', 'g'), 1, 300) AS x FROM benchmark)
 SELECT a.item_id AS item_id, round(levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x), 1), 9) AS ratio FROM t a JOIN t b ON a.item_id + 1 = b.item_id""")
 def levenshtein_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distance of each benchmark item to the next one, by the longer length."""
+    """Edit distance of each benchmark item to the next one, by the longer length, over the first 300 of the letters a to z and blanks alone. `levenshtein_whole` takes whole texts."""
     t = table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), 1, 300).alias("x"))
     after = t.select((F.col("item_id") - 1).alias("item_id"), F.col("x").alias("y"))
     return t.join(after, "item_id").select("item_id", F.round(T.levenshtein_ratio("x", "y"), 9).alias("ratio"))
 
 
+@query()
+def levenshtein_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit distance of the whole text of each benchmark item to that of the next one, by the longer length. (No SQL: DuckDB counts bytes.)"""
+    t = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    after = t.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("after"))
+    return t.join(after, "item_id").select("item_id", F.round(T.levenshtein_ratio("text", "after"), 9).alias("ratio"))
+
+
 def _stop_sql() -> str:
     counts = [f"len(list_filter(w, lambda x: x IN ({', '.join(repr(v) for v in own)}))) AS {lang}" for lang, own in sorted(T.STOP_WORDS.items())]
     return f"""WITH s AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS w FROM documents), c AS (SELECT doc_id, {', '.join(counts)} FROM s)
