@@ -17,6 +17,9 @@ _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 _ACCESS, _HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 _TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+#: Characters that are judged by themselves in a longer run, and the least share of neighbours that differ in case in a whole run and in
+#: a stretch: short words joined with capitals reach a third.
+STRETCH, CHANGES, STRETCH_CHANGES = 20, 0.3, 0.4
 
 _PARTS = "get set user name list map index count value total buffer stream reader writer handler manager factory config service client server request response parse format table column query filter order group window state cache token key session request path file folder update delete insert create build load store thread queue worker task event message error result status number string object array vector matrix model train layer batch sample source target output input default internal external abstract interface controller listener adapter process resource container".split()
 
@@ -61,10 +64,11 @@ class MarkovSecrets:
 
     Trained by counting pairs in labelled samples, with add-one smoothing, in DataFrame operations. The table has as many
     cells as pairs of the alphabet (67 x 67), whatever the sample's size, and becomes a literal of the query.
-    A string's ratio is the mean over its pairs; at `least` nats or more it counts as random.
+    A string's ratio is the mean over its pairs; at `least` nats or more it counts as random. So does a string with a stretch of
+    STRETCH characters at `stretch` nats or more, behind a name for instance; the best of many stretches needs the higher bound.
     """
 
-    def __init__(self, samples: DataFrame, least: float = 0.9):
+    def __init__(self, samples: DataFrame, least: float = 0.9, stretch: float = 1.3):
         """samples: (sample string, label int), 1 for random. Null rows are left out."""
         n = len(ALPHABET)
         strings = samples.filter("sample is not null and label is not null and length(sample) > 1").select("label", "sample")
@@ -77,7 +81,7 @@ class MarkovSecrets:
         totals = {(y, a): sum(got.get((y, a, b), 0) for b in range(1, n + 1)) for y in (0, 1) for a in range(1, n + 1)}
         rate = lambda y, a, b: math.log((got.get((y, a, b), 0) + 0.5) / (totals[y, a] + 0.5 * n))
         self.table = [rate(1, a, b) - rate(0, a, b) for a in range(1, n + 1) for b in range(1, n + 1)]
-        self.least = least
+        self.least, self.stretch = least, stretch
 
     @classmethod
     def default(cls, spark: SparkSession) -> MarkovSecrets:
@@ -96,16 +100,42 @@ class MarkovSecrets:
         return walk / F.greatest(F.length(string) - 1, F.lit(1))
 
     def looks_random(self, string: Column) -> Column:
-        """Above the ratio, and with a digit among at least three kinds of characters, or of letters that change case often."""
+        """Above the ratio, and with a digit and a letter or of letters that change case often: the whole or a stretch of it."""
         mixed = string.rlike("[0-9]") & string.rlike("[A-Za-z]")
-        return mixed & (self.ratio(string) >= self.least)
+        changes = F.regexp_count(string, F.lit("[a-z](?=[A-Z])|[A-Z](?=[a-z])")) >= CHANGES * (F.length(string) - 1)
+        return ((mixed | changes) & (self.ratio(string) >= self.least)) | (string.rlike("[0-9]|[a-z][A-Z]|[A-Z][a-z]") & self._stretch(string))
+
+    def _stretch(self, string: Column) -> Column:
+        """Whether STRETCH characters in a row are above their ratio and mixed or changing. One walk: sums take the next pair in and the last one out."""
+        n, pairs = len(ALPHABET), STRETCH - 1
+        cells = F.from_json(F.lit(json.dumps([round(x, 4) for x in self.table])), "array<double>")
+        codes = F.filter(F.transform(F.split(string, ""), lambda c: F.instr(F.lit(ALPHABET), c)), lambda c: c > 0)
+        of = lambda test: F.coalesce(test.cast("int"), F.lit(0))
+        score = lambda a, b: F.coalesce(F.get(cells, (a - 1) * n + b - 1), F.lit(0.0))
+        change = lambda a, b: of((a <= 26) & b.between(27, 52) | a.between(27, 52) & (b <= 26))
+        digit, letter = (lambda c: of(c.between(53, 62))), (lambda c: of(c <= 52))
+
+        def walk(cs: Column) -> Column:
+            def step(s: Column, i: Column) -> Column:
+                a, b, c, d = (F.get(cs, k) for k in (i - 1, i, i - pairs - 1, i - pairs))  # a and b come in, c goes out, d stood behind it
+                c_d = lambda f, zero: F.when(c.isNull(), F.lit(zero)).otherwise(f(c, d))
+                total, turns = s["total"] + score(a, b) - c_d(score, 0.0), s["turns"] + change(a, b) - c_d(change, 0)
+                digits, letters = s["digits"] + digit(b) - digit(c), s["letters"] + letter(b) - letter(c)
+                fits = (i >= pairs) & (total >= self.stretch * pairs) & ((digits > 0) & (letters > 0) | (turns >= STRETCH_CHANGES * pairs))
+                return F.struct(total.alias("total"), turns.alias("turns"), digits.alias("digits"), letters.alias("letters"), (s["hit"] | fits).alias("hit"))
+
+            start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("turns"), F.lit(0).alias("digits"), F.lit(0).alias("letters"), F.lit(False).alias("hit"))
+            return F.aggregate(F.sequence(F.lit(0), F.size(cs) - 1), start, step, lambda s: s["hit"])
+
+        return F.get(F.transform(F.array(codes), walk), 0)
 
 
 def find_secrets(docs: DataFrame, model: MarkovSecrets | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans), a row for each row of `docs`.
 
     spans lists kind:start:end by start, then kind, in code points with an exclusive end. `random` spans are the method's own: runs
-    of 20 or more characters of the base64 alphabet that the Markov models take for random and that overlap no other span.
+    of 20 or more characters of the base64 alphabet that the Markov models take for random, as a whole or in a stretch of 20, and
+    that overlap no other span; the span is the whole run's.
     Null texts count as empty. Repeated rows and null ids stay. Columns besides doc_id and text don't matter.
     """
     model = model or MarkovSecrets.default(docs.sparkSession)

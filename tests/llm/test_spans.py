@@ -91,3 +91,17 @@ def test_markov_models_part_random_from_words(spark):
     hits = [found[i] for i, (_, y) in enumerate(fresh) if y]
     clean = [found[i] for i, (_, y) in enumerate(fresh) if not y]
     assert sum(hits) / len(hits) > 0.9 and sum(clean) / len(clean) < 0.03
+
+
+def test_random_letters_and_values_behind_names(spark):
+    """Letters without digits, and values behind a name and a mark, are found; words in any shape are not."""
+    rng, letters = random.Random(17), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    fronts = ("AWS_SECRET_ACCESS_KEY=", "config/service/", "production_api_key_", "service-client-")
+    hidden = [draw(letters, rng.randint(20, 40)) for _ in range(60)] + [f + draw(letters + "0123456789+/", n) for f in fronts for n in (24, 40) for _ in range(15)]
+    parts = "donau dampf schiff fahrts gesell schaft bundes ausbildungs foerderungs gesetz haftpflicht versicherung".split()
+    plain = [s for _ in range(40) for w in [rng.choices(parts, k=5)] for s in ("".join(w), "".join(w).title(), w[0] + "".join(x.title() for x in w[1:]), "/".join(w), "utm_source=" + "_".join(w) + "=20240115", "2024/01/15/" + "-".join(w), "=" * 40)]
+    df = spark.createDataFrame(list(enumerate(f"see {s} here" for s in hidden + plain)), "doc_id long, text string")
+    found = {r.doc_id: r.n_random for r in find_secrets(df, MarkovSecrets.default(spark)).collect()}
+    assert sum(found[i] for i in range(len(hidden))) / len(hidden) > 0.95
+    assert sum(found[i] for i in range(len(hidden), len(found))) == 0
