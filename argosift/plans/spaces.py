@@ -128,7 +128,7 @@ def scatter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stance_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stances learned from labelled posts, predicted for all. (No SQL: a fitted model.)"""
     posts = schemas.stance_posts(spark, sf_dir).select("cid", "text", "stance")
-    return S.predict_stance(S.fit_stance(posts, max_iter=50), posts).drop("text")
+    return S.predict_stance(S.fit_stance(posts), posts).drop("text")
 
 
 def _flag(prompt: str) -> str:

@@ -1,7 +1,10 @@
 """Queries that take whole inputs, against brute force on small tables."""
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
 
+from argosift.operators import stance as S
 from argosift.plans import catalogue
 
 
@@ -23,3 +26,12 @@ def test_levenshtein_of_whole_texts(spark, tmp_path):
     pairs = [(a or "", b or "") for a, b in zip(texts, texts[1:])]
     assert got == {i: pytest.approx(distance(a, b) / max(len(a), len(b), 1)) for i, (a, b) in enumerate(pairs)}
     assert got[0] > 0 and got[2] > 0 and got[4] > 0
+
+
+def test_stance_terms_are_all_kept(spark):
+    """More terms than 1 << 18, each in one of two texts: words, and pairs of words."""
+    n = 100_000
+    words = F.array_join(F.transform(F.sequence("low", F.col("low") + n - 1), lambda i: F.concat(F.lit("w"), i)), " ")
+    df = spark.createDataFrame([(n,), (2 * n,)], "low long").select(words.alias("text"))
+    fitted = Pipeline(stages=S.features(min_df=1)).fit(df)
+    assert len(fitted.stages[-2].vocabulary) == 2 * n + 2 * (n - 1)
