@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -112,9 +112,14 @@ def faithfulness_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Statistics over features.
 
 
+def _every() -> dict[str, Column]:
+    """Every feature of a text, dots in the names as underscores; entity labels that need a recogniser are null."""
+    return {k.replace(".", "_"): c for k, c in (L.all_features("text") | L.type_rates("text", EMOTIONS)).items()}
+
+
 def platform_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every feature of every post, with its platform."""
-    return schemas.posts(spark, sf_dir).select("platform", *[c.alias(k.replace(".", "_")) for k, c in (L.register_features("text") | L.token_rates("text")).items()])
+    return schemas.posts(spark, sf_dir).select("platform", *[c.alias(k) for k, c in _every().items()])
 
 
 FEATURES = ["avg_word_len", "ttr", "n_words", "modal_rate", "exclaim_rate", "question_rate"]
@@ -135,8 +140,8 @@ def platform_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def platform_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with p, its Bonferroni correction and stars; strongest effects first. (No SQL: Student's t.)"""
-    every = [k.replace(".", "_") for k in (*L.register_features("text"), *L.token_rates("text"))]
-    return X.top_effects(X.compare_groups(platform_features(spark, sf_dir), "platform", "Meta", "Bluesky", every), 25)
+    every = list(_every())
+    return X.top_effects(X.compare_groups(platform_features(spark, sf_dir), "platform", "Meta", "Bluesky", every), len(every))
 
 
 @query(f"""WITH {POSTS}, p AS (SELECT platform, coalesce(text, '') AS x, {TOKENS} AS k FROM posts), m AS (SELECT avg({_REGISTER['ttr']}) FILTER (platform = 'Meta') AS a, avg({_REGISTER['ttr']}) FILTER (platform = 'Bluesky') AS b FROM p)

@@ -35,3 +35,11 @@ def test_stance_terms_are_all_kept(spark):
     df = spark.createDataFrame([(n,), (2 * n,)], "low long").select(words.alias("text"))
     fitted = Pipeline(stages=S.features(min_df=1)).fit(df)
     assert len(fitted.stages[-2].vocabulary) == 2 * n + 2 * (n - 1)
+
+
+def test_every_feature_is_compared(spark, sf):
+    """Each family of features is tested, and p is corrected by their number."""
+    got = catalogue.queries()["platform_significance"](spark, sf).collect()
+    names = {r.feature for r in got}
+    assert {"ttr", "fk_grade", "vader_compound", "ner_money", "ner_percent", "ner_date"} <= names and any(n.startswith("mfd2_") for n in names) and any(n.startswith("nrc_") for n in names)
+    assert all(r.p_bonferroni == pytest.approx(min(1, r.p * len(got))) for r in got if r.p is not None)
