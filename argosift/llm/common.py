@@ -56,9 +56,10 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_folder(spark)}/argosift-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(_delete, spark, self.root)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """`df` as a table, in a folder for each value of the column `by`."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:6]}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._argosift_path = path
         return out
