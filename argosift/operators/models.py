@@ -125,11 +125,11 @@ def topic_or_none(label: Column, cluster: Column) -> Column:
 
 
 def relevance(df: DataFrame, client: Client, size: int = 20, policy: RetryPolicy | None = None, order: str = "row_index", value: str = "clean_text") -> DataFrame:
-    """(order, relevance): one call for `size` rows. (M2)"""
+    """(order, relevance): one call for `size` rows, each text whole and on a line of its own. (M2, T5)"""
     from .relational import batches
 
     grouped = batches(df.select(order, value), size, order).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("items"))
-    prompts = grouped.withColumn("__prompt", F.concat(F.lit("Mark each text RELEVANT or IRRELEVANT, one a line.\n"), text.numbered(F.transform("items", lambda x: x[value]))))
+    prompts = grouped.withColumn("__prompt", F.concat(F.lit("Mark each text RELEVANT or IRRELEVANT, one a line.\n"), text.numbered(F.transform("items", lambda x: text.collapse(x[value])))))
     labelled = ask(prompts, "__prompt", client, policy).withColumn("labels", parse.relevance_labels("reply", F.size("items")))
     return labelled.select(F.posexplode("items").alias("i", "item"), "labels").select(F.col(f"item.{order}").alias(order), F.get("labels", F.col("i")).alias("relevance"))
 
@@ -151,12 +151,13 @@ def assign(items: DataFrame, claims: list[dict], client: Client, size: int = 10,
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order).reset_index(drop=True)
+        lines_of = [" ".join((t or "").split()) for t in pdf["text"]]  # a text is one line of the prompt
         lines: dict[int, str | None] = {}
         todo = list(range(len(pdf)))
         for _ in range(retries + 1):
             if not todo:
                 break
-            asked = "\n".join(f"{k}. {pdf['text'][i] or ''}" for k, i in enumerate(todo, 1))
+            asked = "\n".join(f"{k}. {lines_of[i]}" for k, i in enumerate(todo, 1))
             reply, _error = policy.call(lambda asked=asked: client(f"Claims:\n{listed}\nFor each text give the number of its claim, one a line.\n{asked}"))
             got = [x for x in (reply or "").splitlines() if x.strip()]
             if len(got) == 1 and len(p := [x.strip() for x in got[0].split(",") if x.strip()]) > 1:

@@ -64,19 +64,17 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 
 def batches(df: DataFrame, size: int, order: str = "row_index", within: list[str] | None = None) -> DataFrame:
-    """`batch`, from 0, for runs of `size` rows in order.
+    """`batch`, from 0, for runs of `size` rows in order, null orders first; the rows themselves stay whole.
 
-    Without `within`, rows get their place from counts of row-index ranges, so no single task sees all rows. (W12)
+    Without `within`, rows are sorted by ranges and numbered once (`files.place_rows`), so no single task sees all rows. (W12)
     """
     if within:
         w = Window.partitionBy(*within).orderBy(order)
         return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
-    ranged = df.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # one row a partition
-    w = Window.partitionBy("__part").orderBy(order)
-    placed = ranged.join(F.broadcast(before), "__part").withColumn("batch", F.floor((F.col("__before") + F.row_number().over(w) - 1) / size))
-    return placed.drop("__part", "__before")
+    from ..sources.files import place_rows
+
+    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id())
+    return place_rows(ranged, "__place").withColumn("batch", F.floor(F.col("__place") / size)).drop("__place")
 
 
 def value_counts(df: DataFrame, column: str, normalize: bool = False, nulls: bool = False) -> DataFrame:

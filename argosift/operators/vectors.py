@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: So many groups, with their vectors, are broadcast at most; the number is checked.
+MOST_GROUPS = 20_000
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     """Inner product in double precision."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
@@ -21,7 +23,8 @@ def norm(a: Column | str) -> Column:
 def unit(a: Column | str, least: float = 1e-12) -> Column:
     """Scaled to length 1. (V2)"""
     a = F.col(a) if isinstance(a, str) else a
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(least)))
+    # The length is made once a vector: inside the lambda it would be made for each element.
+    return F.get(F.transform(F.array(F.greatest(norm(a), F.lit(least))), lambda n: F.transform(a, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -86,13 +89,16 @@ def silhouette(df: DataFrame, labels: list[str], vector: str = "vector") -> Data
     *outer, label = labels
     u = df.select(*outer, F.col(label).alias("__l"), unit(vector).alias("u"))
     sums = u.groupBy(*outer, "__l").agg(F.count(F.lit(1)).alias("n"), _mean("u").alias("m")).filter("n > 1")
-    own = u.join(sums, [*outer, "__l"]).select(*outer, "__l", "u", "n", ((F.col("n") - F.col("n") * dot("u", "m")) / (F.col("n") - 1)).alias("a"))
-    own = own.withColumn("__id", F.monotonically_increasing_id())
-    other = F.broadcast(sums.select(*outer, F.col("__l").alias("__o"), F.col("m").alias("om")))  # a row a group
-    pairs = own.join(other, outer) if outer else own.crossJoin(other)
-    b = pairs.filter("__o <> __l").groupBy(*outer, "__id").agg(F.first("a").alias("a"), F.min(1 - dot("u", "om")).alias("b"))
-    s = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
-    return b.groupBy(*outer).agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette"))
+    every = sums.groupBy(*outer).agg(F.collect_list(F.struct("__l", "n", "m")).alias("__groups"))  # one array of groups for each outer key
+    few = sums.count() <= MOST_GROUPS
+    side = F.broadcast(every) if few else every
+    # Each point meets all groups in one projection: no row is made for a pair, and none moves.
+    rows = u.join(side, outer) if outer else u.crossJoin(side)
+    own = F.get(F.filter("__groups", lambda g: g["__l"] == F.col("__l")), F.lit(0))
+    far = F.array_min(F.transform(F.filter("__groups", lambda g: g["__l"] != F.col("__l")), lambda g: 1 - dot(F.col("u"), g["m"])))
+    a = (own["n"] - own["n"] * dot(F.col("u"), own["m"])) / (own["n"] - 1)
+    s = rows.select(*outer, a.alias("a"), far.alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    return s.groupBy(*outer).agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
 
 
 def davies_bouldin(df: DataFrame, labels: list[str], vector: str = "vector") -> DataFrame:
@@ -127,21 +133,13 @@ def _components(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Every round is a table in the shared folder, so plans stay small and a lost executor costs one round at most.
     """
-    from ..sources.files import shared_path
-
-    spark = nodes.sparkSession
-    at, rounds = f"{shared_path(spark)}/merge-{uuid.uuid4().hex[:12]}", 0
-
-    def put(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{at}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
+    from ..sources.files import scratch_put
 
-    links, now = put(links, "links"), put(nodes.select("l", F.col("l").alias("root")), "0")
+    links, now = scratch_put(links, "links"), scratch_put(nodes.select("l", F.col("l").alias("root")), "roots")
     while True:
-        rounds += 1
         near = links.join(now.withColumnRenamed("l", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
         jump = now.select(F.col("l").alias("near"), F.col("root").alias("far"))
-        then = put(near.join(jump, "near").join(now.withColumnRenamed("l", "a"), "a").select(F.col("a").alias("l"), F.least("near", "far").alias("root"), F.col("root").alias("was")), str(rounds))
+        then = scratch_put(near.join(jump, "near").join(now.withColumnRenamed("l", "a"), "a").select(F.col("a").alias("l"), F.least("near", "far").alias("root"), F.col("root").alias("was")), "roots")
         if then.filter("root <> was").isEmpty():
             return then.select("l", "root")
         now = then.select("l", "root")

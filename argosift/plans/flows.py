@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from .registry import POSTS, query, table
 
 
 def _path(spark: SparkSession, name: str) -> str:
-    return f"{files.shared_path(spark)}/{name}-{uuid.uuid4().hex[:10]}"
+    return files.scratch_path(spark, name)
 
 
 @query("SELECT doc_id::VARCHAR AS doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents")
@@ -34,13 +32,14 @@ def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_jsonl(spark, path, "conv_id long, turn long, role string, text string")
 
 
-@query("SELECT vec_id AS id, label, len(embedding)::INTEGER AS size FROM embeddings")
+@query("SELECT vec_id AS id, label, generate_subscripts(embedding, 1) - 1 AS place, unnest(embedding)::DOUBLE AS value FROM embeddings")
 def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors made once, then read by their folder of a group."""
     path, rows = _path(spark, "vectors"), schemas.vectors(spark, sf_dir)
     files.write_embeddings(rows, path, by="label")
     cached = files.cached_embeddings(rows.select("id"), path, lambda ids: rows)
-    return cached.select("id", F.col("label").cast("int").alias("label"), F.size("vector").alias("size"))
+    each = cached.select("id", F.col("label").cast("int").alias("label"), F.posexplode("vector").alias("place", "value"))
+    return each.select("id", "label", F.col("place").cast("long").alias("place"), F.col("value").cast("double").alias("value"))
 
 
 @query(f"WITH {POSTS} SELECT cid, lang FROM posts")
@@ -60,9 +59,10 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(kept).parquet(f"{sf_dir}/event[s].parquet")
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     counts = resume.windowed_counts(timed, "ts", "event_type").select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
-    put = lambda batch, _id: batch.write.mode("overwrite").parquet(path)
-    counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path)
+    # Update mode: each batch brings the counts that it changed, and state behind the watermark goes. A replayed batch writes its folder anew.
+    put = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", files.scratch_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).groupBy("hour", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
 @query(f"WITH {POSTS} SELECT cid, text FROM posts WHERE text IS NOT NULL")
@@ -73,5 +73,5 @@ def streamed_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(docs).parquet(f"{sf_dir}/document[s].parquet")
     posts = stream.select(F.col("doc_id").cast("string").alias("cid"), "text").filter("text IS NOT NULL")
     for _ in range(2):  # a replay from the start adds nothing
-        resume.append_once(posts, path, f"{path}-checkpoint-{uuid.uuid4().hex[:6]}").awaitTermination()
+        resume.append_once(posts, path, files.scratch_path(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(path)

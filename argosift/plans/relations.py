@@ -132,10 +132,10 @@ def segment_restricted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame
     return both.select("cid", "cluster_id", "cluster_claim", F.col("ordinal").cast("string").alias("ordinal"), "assign_reason")
 
 
-@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 20 AS batch FROM documents")
+@query("SELECT doc_id, text, (row_number() OVER (ORDER BY doc_id) - 1) // 20 AS batch FROM documents")
 def microbatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of twenty rows in order."""
-    return R.batches(table(spark, sf_dir, "documents").select("doc_id"), 20, "doc_id").select("doc_id", F.col("batch").cast("long").alias("batch"))
+    return R.batches(table(spark, sf_dir, "documents").select("doc_id", "text"), 20, "doc_id").select("doc_id", "text", F.col("batch").cast("long").alias("batch"))
 
 
 @query(f"""WITH {POSTS}, {STANCES} SELECT p.row_index, coalesce(s.stance, p.lang) AS lang FROM posts p LEFT JOIN stances s USING (row_index)""")

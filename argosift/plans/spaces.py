@@ -26,11 +26,11 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.similar_pairs(schemas.vectors(spark, sf_dir), NEAR).withColumn("sim", F.round("sim", 6))
 
 
-@query(f"WITH {_UNITS}, {_UNIT_MEANS} SELECT label, round(c[1], 6) AS first, round(c[64], 6) AS last FROM c")
+@query(f"WITH {_UNITS}, {_UNIT_MEANS} SELECT label, round(unnest(c), 6) AS value, generate_subscripts(c, 1) - 1 AS place FROM c")
 def cluster_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean vectors by cluster, of length 1."""
     found = V.centroids(schemas.vectors(spark, sf_dir), ["label"])
-    return found.select("label", F.round(F.get("centroid", F.lit(0)), 6).alias("first"), F.round(F.get("centroid", F.lit(63)), 6).alias("last"))
+    return found.select("label", F.posexplode("centroid").alias("place", "value")).select("label", F.round("value", 6).alias("value"), F.col("place").cast("long").alias("place"))
 
 
 @query(f"""WITH {_UNITS}, {_MEANS}, p AS (SELECT u.id, u.label, u.label AS own, 0 AS k FROM u),
@@ -145,29 +145,30 @@ def model_claim_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _relevant(prompt: str) -> str:
-    return "\n".join("RELEVANT" if "!" in line else "IRRELEVANT" for line in prompt.splitlines()[1:])
+    return "\n".join("RELEVANT" if "!" in line or "?" in line else "IRRELEVANT" for line in prompt.splitlines()[1:])
 
 
-@query("SELECT doc_id, CASE WHEN contains(coalesce(source, '') , '1') THEN 'RELEVANT' ELSE 'IRRELEVANT' END AS relevance FROM documents")
+@query("SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[!?]') THEN 'RELEVANT' ELSE 'IRRELEVANT' END AS relevance FROM documents")
 def model_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One model call for twenty posts."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.when(F.coalesce("source", F.lit("")).contains("1"), "!").otherwise("")).alias("clean_text"))
+    """One model call for twenty posts, their whole texts in the prompt; the offline model looks for marks of address."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("clean_text"))
     return M.relevance(rows, M.EchoClient(_relevant), order="doc_id")
 
 
 def _choice(prompt: str) -> str:
-    return "\n".join("2" if "src1" in line else "none" for line in prompt.split("one a line.\n")[1].splitlines())
+    return "\n".join("2" if "@" in line else "1" if "!" in line else "none" for line in prompt.split("one a line.\n")[1].splitlines())
 
 
-@query("SELECT doc_id, CASE WHEN starts_with(source, 'src1') THEN 'b' END AS assigned_cluster_id, CASE WHEN starts_with(source, 'src1') THEN 'llm_claim_assign' ELSE 'llm_missing' END AS assign_reason, CASE WHEN starts_with(source, 'src1') THEN 'matched' ELSE 'non_matching' END AS match_status FROM documents")
+@query("""WITH c AS (SELECT doc_id, CASE WHEN contains(coalesce(text, ''), '@') THEN 'b' WHEN contains(coalesce(text, ''), '!') THEN 'a' END AS assigned_cluster_id FROM documents)
+SELECT doc_id, assigned_cluster_id, CASE WHEN assigned_cluster_id IS NULL THEN 'llm_missing' ELSE 'llm_claim_assign' END AS assign_reason, CASE WHEN assigned_cluster_id IS NULL THEN 'non_matching' ELSE 'matched' END AS match_status FROM c""")
 def model_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M5: claims assigned by number, ten posts a call, unreadable answers asked again."""
+    """M5: claims assigned by number, ten whole posts a call, unreadable answers asked again."""
     claims = [{"cluster_id": "a", "cluster_claim": "One.", "segment": "s"}, {"cluster_id": "b", "cluster_claim": "Two.", "segment": "s"}]
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
     return M.assign(rows, claims, M.EchoClient(_choice), retries=1, order="doc_id").select("doc_id", "assigned_cluster_id", "assign_reason", "match_status")
 
 
 @query()
 def text_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1: embeddings of the benchmark items by the offline embedder. (No SQL: hashed n-grams.)"""
-    return M.embed(table(spark, sf_dir, "benchmark"), "text").select("item_id", F.size("vector").alias("size"), F.round(V.norm("vector"), 4).alias("norm"))
+    """V1: embeddings of all documents by the offline embedder. (No SQL: hashed n-grams.)"""
+    return M.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "vector")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +17,20 @@ _CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     """`df` with consecutive numbers from 0 in file order, without bringing all rows to one task."""
-    at = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
-    counts = at.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    return place_rows(df.withColumn("__at", F.monotonically_increasing_id()), name)
+
+
+def place_rows(at: DataFrame, name: str) -> DataFrame:
+    """`at` with consecutive numbers from 0 in place of its column `__at`, a monotonically increasing id.
+
+    Such ids hold for one execution of a plan only: planned twice, for the rows and for their counts, partitions may be coalesced
+    differently. So the rows are written once to the shared folder, and both sides read them from there.
+    """
+    fixed = scratch_put(at, "rows")
+    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    counts = fixed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a partition
-    inside = F.col("__at").bitwiseAND((1 << 33) - 1)
-    return at.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + inside).drop("__at", "__part", "__before")
+    return fixed.withColumn("__part", part).join(F.broadcast(before), "__part", "left").withColumn(name, F.col("__before") + inside).drop("__at", "__part", "__before")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -122,3 +135,24 @@ def shared_path(spark: SparkSession) -> str:
     """The folder for scratch files that driver and executors share: spark.checkpoint.dir, or where that is unset one in the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return (base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder in whatever store it is; one that isn't there is no error."""
+    with contextlib.suppress(Exception):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the session ends: lazy results may read it until then."""
+    path = f"{shared_path(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(delete, spark, path)
+    return path
+
+
+def scratch_put(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once and read again: its lineage is cut, so a lost executor costs running tasks only."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

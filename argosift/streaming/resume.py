@@ -32,11 +32,14 @@ def windowed_counts(events: DataFrame, ts: str, key: str, width: str = "1 hour",
 
 
 def append_once(stream: DataFrame, path: str, checkpoint: str, key: str = "cid", transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Appends to Parquet at `path` the rows whose key it lacks, batch by batch; a replayed batch adds nothing."""
+    """Appends to Parquet at `path` the rows whose key it lacks, batch by batch; a replayed batch adds nothing.
+
+    Of a batch's rows with one key the least by all columns is taken, so reruns agree. Of what is there only the keys are read.
+    """
 
     def put(batch: DataFrame, _id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
+        fresh = batch.groupBy(key).agg(F.min(F.struct(*batch.columns)).alias("__row")).select("__row.*")
         hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         if hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath):
             fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")

@@ -35,6 +35,16 @@ def test_row_index(spark):
     assert sorted(r.row_index for r in got.collect()) == list(range(1000))
 
 
+def test_row_index_after_a_coalesced_shuffle(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    try:
+        df = spark.range(3000).withColumn("pad", F.repeat(F.lit("x"), 300)).groupBy("id").agg(F.first("pad").alias("pad"))
+        got = files.with_row_index(df)
+        assert sorted(r.row_index for r in got.select("row_index").collect()) == list(range(3000))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
 def test_jsonl_resume(spark, tmp_path):
     path = str(tmp_path / "j")
     schema = "cid string, error string"

@@ -53,6 +53,29 @@ def test_batches_are_consecutive(spark, parts):
     assert sorted(tuple(r) for r in R.batches(df, 20).select("row_index", "batch").collect()) == want
 
 
+@pytest.mark.parametrize("parts", [1, 7, 50])
+def test_batches_lose_no_wide_row(spark, parts):
+    """Whole texts, with the adaptive planner left free to coalesce: every row once, batches full and consecutive."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    n = docs.count()
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    try:
+        got = R.batches(docs.repartition(parts), 20, "doc_id")
+        assert got.columns == ["doc_id", "text", "batch"]
+        found = sorted((r.doc_id, r.batch) for r in got.select("doc_id", "batch").collect())
+        assert found == [(i, k // 20) for k, (i,) in enumerate(sorted((r.doc_id,) for r in docs.select("doc_id").collect()))] and len(found) == n
+        assert got.select(F.sum(F.xxhash64("doc_id", "text").cast("decimal(20,0)"))).first() == docs.select(F.sum(F.xxhash64("doc_id", "text").cast("decimal(20,0)"))).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_batches_with_ties_and_nulls(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "b"), (1, "c"), (1, "d"), (0, "e")], "row_index long, t string")
+    got = sorted(R.batches(df, 2).collect(), key=lambda r: (r.batch, r.t))
+    assert [r.batch for r in got] == [0, 0, 1, 1, 2] and {r.t for r in got if r.batch == 0} == {"a", "b"} and "".join(sorted(r.t for r in got)) == "abcde"
+    assert R.batches(df.limit(0), 2).count() == 0
+
+
 def test_describe_single_row_and_nan(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0), ("b", float("nan"))], "segment string, m double")
     got = {r.segment: r for r in R.describe_with_overall(df, "segment", ["m"]).collect()}
