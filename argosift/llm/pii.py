@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "url", "account")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: Nothing is given back: what follows a run of digits isn't a digit.
+_IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
@@ -40,6 +43,37 @@ def iban_valid(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+class _Spans:
+    """Spans that may overlap, asked by bisection."""
+
+    def __init__(self, spans):
+        self.spans = sorted(spans)
+        self.starts = [a for a, _ in self.spans]
+        self.reach = list(accumulate((b for _, b in self.spans), max))
+
+    def allow(self, a: int, b: int, holds: bool) -> bool:
+        """Whether no span overlaps (a, b); with `holds` those inside may."""
+        at, end = bisect_left(self.starts, a), bisect_left(self.starts, b)
+        if at and self.reach[at - 1] > a:
+            return False
+        return at == end or holds and all(y <= b for _, y in self.spans[at:end])
+
+
+class _Apart:
+    """Spans that don't overlap, in order."""
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+
+    def put(self, a: int, b: int) -> bool:
+        """Adds (a, b) unless it overlaps one."""
+        i = bisect_left(self.spans, (a, b))
+        if i and self.spans[i - 1][1] > a or i < len(self.spans) and self.spans[i][0] < b:
+            return False
+        self.spans.insert(i, (a, b))
+        return True
+
+
 class PiiFinder:
     """Finds spans (start, end, kind index) of personal data in code points.
 
@@ -84,14 +118,20 @@ class PiiFinder:
         put = lambda kind, spans: found.extend((a, b, KINDS.index(kind)) for a, b in spans)
         put("email", self._emails(text, seen.get("at", [])))
         digits = seen.get("digit", [])
-        put("ip", self._runs(text, digits, _IP, lambda s: all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:4] or 0) <= 255 for p in s.split("."))))
+        # A match can't begin later in a run of digits than at its first, or it could begin there too.
+        first = [at for before, at in zip([-2, *digits], digits) if at != before + 1]  # noqa: B905
+        put("ip", self._runs(text, first, _IP, lambda s: all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:4] or 0) <= 255 for p in s.split("."))))
         put("card", self._runs(text, digits, _CARD, lambda s: 13 <= len(d := _NOT_DIGIT.sub("", s)) <= 19 and luhn(d)))
         put("phone", self._runs(text, seen.get("plus", []), _PHONE, lambda s: 9 <= len(_NOT_DIGIT.sub("", s)) <= 15))
         if seen.keys() & {"ssn", "account", "iban", "scheme"}:
-            base = sorted((a, b) for a, b, _ in found)
-            free = lambda a, b, holds: all(y <= a or b <= x or holds and a <= x and y <= b for x, y in base)
+            base = _Spans((a, b) for a, b, _ in found)
             extra: list[tuple[int, int, int]] = []
-            add = lambda kind, a, b: extra.append((a, b, KINDS.index(kind))) if free(a, b, kind == "url") and all(y <= a or b <= x for x, y, _ in extra) else None
+            own = _Apart()
+
+            def add(kind: str, a: int, b: int) -> None:
+                if base.allow(a, b, kind == "url") and own.put(a, b):
+                    extra.append((a, b, KINDS.index(kind)))
+
             for at in seen.get("iban", []):
                 if (m := _IBAN.search(text, at, at + 60)) and not any(map(str.isalnum, text[at : m.start()].replace("no", "").replace("nr", ""))):
                     self._iban(m, add)

@@ -16,6 +16,8 @@ _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: Runs shorter than the limit can't hold or hide a match of these two, so the limit stands in the pattern.
 _ACCESS, _HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 _TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Spans of these two, with what overlaps of them.
+_ACCESS_OR_HEX = rf"[0-9a-f]*{_ACCESS}[0-9a-f]*|{_HEX}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Characters that are judged by themselves in a longer run, and the least share of neighbours that differ in case in a whole run and in
 #: a stretch: short words joined with capitals reach a third.
@@ -37,15 +39,32 @@ def labelled_strings(n: int = 4000, seed: int = 5) -> list[tuple[str, int]]:
     return out
 
 
+#: Spans whose places are summed up in one array; longer lists are put together of such blocks, so that no array is copied for each match.
+_BLOCK = 256
+
+
 def _spread(items: Column, texts: Column, kind: str, keep: Column | None = None) -> Column:
-    """Spans of the matches `items` of a text that parts into the pieces `texts` around them."""
+    """Spans of the matches `items` of a text that parts into the pieces `texts` around them, in time proportional to their number."""
     lengths = F.zip_with(texts, items, lambda t, m: F.struct(F.coalesce(F.length(t), F.lit(0)).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("own")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
-    done = F.aggregate(lengths, start, lambda a, x: F.struct(
-        (a["at"] + x["gap"] + x["own"]).alias("at"),
-        F.when(x["own"] > 0, F.concat(a["spans"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["own"]).alias("end"))))).otherwise(a["spans"]).alias("spans"),
-    ), lambda a: a["spans"])
-    spans = F.transform(done, lambda s: F.struct(s["start"], F.lit(KINDS.index(kind)).alias("kind"), s["end"]))
+
+    def block(xs: Column) -> Column:
+        """The block's length, and its spans as if the text began with it."""
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
+        return F.aggregate(xs, start, lambda a, x: F.struct(
+            (a["at"] + x["gap"] + x["own"]).alias("at"),
+            F.when(x["own"] > 0, F.concat(a["spans"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["own"]).alias("end"))))).otherwise(a["spans"]).alias("spans"),
+        ))
+
+    def joined(blocks: Column) -> Column:
+        """The spans of all blocks, moved to where their block begins."""
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all"))
+        begins = F.aggregate(blocks, start, lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
+        move = lambda x, at: F.transform(x["spans"], lambda s: F.struct((s["start"] + at).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (s["end"] + at).alias("end")))
+        return F.flatten(F.zip_with(blocks, begins, move))
+
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _BLOCK).cast("int")), lambda k: block(F.slice(xs, k * _BLOCK + 1, F.lit(_BLOCK))))
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  what a lambda gets is made once
+    spans = once(once(lengths, cut), joined)
     if keep is not None:
         spans = F.transform(F.filter(F.zip_with(spans, keep, lambda s, k: F.struct(s.alias("s"), k.alias("k"))), lambda x: x["k"]), lambda x: x["s"])
     return spans
@@ -59,6 +78,15 @@ def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
+def _without(text: Column, pattern: str, keep=None) -> Column:
+    """The text with line breaks in the place of its matches, for those that `keep` maps to true; its length stays."""
+    items = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    goes = keep(items) if keep is not None else F.transform(items, lambda m: F.lit(True))
+    filled = F.zip_with(items, goes, lambda m, k: F.when(k, F.repeat(F.lit("\n"), F.length(m))).otherwise(m))
+    pieces = F.zip_with(F.split(text, pattern, -1), filled, lambda t, m: F.concat(t, F.coalesce(m, F.lit(""))))
+    return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
+
+
 class MarkovSecrets:
     """First-order character models of random strings and of identifiers, as one table of log-likelihood ratios by character pair.
 
@@ -134,20 +162,19 @@ def find_secrets(docs: DataFrame, model: MarkovSecrets | None = None) -> DataFra
     """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans), a row for each row of `docs`.
 
     spans lists kind:start:end by start, then kind, in code points with an exclusive end. `random` spans are the method's own: runs
-    of 20 or more characters of the base64 alphabet that the Markov models take for random, as a whole or in a stretch of 20, and
-    that overlap no other span; the span is the whole run's.
-    Null texts count as empty. Repeated rows and null ids stay. Columns besides doc_id and text don't matter.
+    of 20 or more characters of the base64 alphabet, outside the base spans, that the Markov models take for random, as a whole or in a
+    stretch of 20; the span is the whole run's. What is left of a run beside a base span is a run of its own.
+    Null texts count as empty. Repeated rows and null ids stay. Columns besides doc_id and text don't matter. The time a text takes is
+    in proportion to its length and matches.
     """
     model = model or MarkovSecrets.default(docs.sparkSession)
     text = F.col("text")
     long_value = lambda items: F.transform(items, lambda m: F.length(F.regexp_extract(m, _ASSIGN, 1)) >= 6)
     found = docs.select("doc_id", text_of().alias("text"))
+    found = found.withColumn("rest", F.when(text.rlike(_TOKEN), _without(_without(text, _ASSIGN, long_value), _ACCESS_OR_HEX)).otherwise(F.lit("")))
     found = found.select("doc_id", _spans(text, _ASSIGN, "assign", long_value).alias("s0"), _spans(text, _ACCESS, "access").alias("s1"), _spans(text, _HEX, "hex").alias("s2"),
-                         _spans(text, _TOKEN, "random", lambda items: F.transform(items, model.looks_random)).alias("s3"))
-    base = F.array_sort(F.concat("s0", "s1", "s2"))
-    found = found.select("*", base.alias("base"))
-    fresh = F.filter("s3", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    found = found.select("*", fresh.alias("added"))
+                         _spans(F.col("rest"), _TOKEN, "random", lambda items: F.transform(items, model.looks_random)).alias("added"))
+    found = found.select("*", F.array_sort(F.concat("s0", "s1", "s2")).alias("base"))
     names = F.array(*[F.lit(k) for k in KINDS])
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
     count = lambda c: F.size(c).cast("long")

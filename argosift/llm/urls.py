@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import Scratch, attach, lower_ascii
 
 #: (rule, verdict): a rule is a host and a path prefix.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -13,39 +15,59 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 _MOST_RULES = 500_000
 
 
+def _digested(c: Column) -> list[Column]:
+    """The full digest of an expression, and its first 32 bits as a number."""
+    full = F.sha2(c, 256)
+    return [full.alias("full"), F.conv(F.substring(full, 1, 8), 16, 10).cast("long").alias("short")]
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame = RULES, default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict), a row for each row of `pages`.
 
-    A rule `host/path` fits its host and all subdomains if the url's path starts with the rule's. The longest rule wins; of
-    equally long ones that with the longer host, then block before allow. Without a fitting rule the verdict is `default`.
+    A rule `host/path` fits its host and all subdomains if the url's path starts with the rule's; a rule without `/` is a host and fits every
+    path. A-Z in a rule's host count as lower case. The longest rule wins; of equally long ones that with the longer host, then block before
+    allow. Without a fitting rule the verdict is `default`.
+
+    Each url is expanded into suffixes of its host with prefixes of its path, those that are as long as some rule's host and path, so a long
+    host costs no more than a short one. The first 32 bits of an expression's SHA-256 are joined with those of the rules, then the
+    whole digests are compared. Null urls and urls without `://` have an empty host and path and no rule. Repeated rows are judged once
+    and returned as often as they occur; null page ids stay.
 
-    Each distinct url is expanded into all suffixes of its host with all prefixes of its path that are as long as some rule's path; the
-    first 32 bits of an expression's SHA-256 are joined with those of the rules, then the whole digests are compared. Null urls and urls
-    without `://` have an empty host and path and no rule. Repeated rows are judged once and returned as often as they occur; null page ids stay.
+    The driver sees the distinct pairs of a host's and a path's length that the rules have. Up to 500,000 rules, which is checked, are broadcast; more are
+    joined with the distinct expressions, and frequent expressions' rows then stay in place (`attach`).
     """
     if not isinstance(rules, DataFrame):
         rules = pages.sparkSession.createDataFrame(list(rules), "rule string, verdict string")
-    known = rules.filter(F.col("rule").contains("/")).select("rule", "verdict").distinct()
-    known = known.withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"))
-    known = known.withColumn("host_length", F.instr("rule", "/"))
-    n, lengths = known.agg(F.count(F.lit(1)), F.collect_set(F.length("rule") - F.col("host_length") + 1)).first()
-    lengths = F.lit(sorted(lengths)) if lengths else F.expr("cast(array() as array<int>)")
+    known = rules.filter(F.col("rule").isNotNull()).select("rule", "verdict").withColumn("cut", F.instr("rule", "/"))
+    host = F.when(F.col("cut") > 0, F.substring(F.col("rule"), F.lit(1), F.col("cut") - 1)).otherwise(F.col("rule"))
+    known = known.withColumn("rhost", lower_ascii(host)).withColumn("rpath", F.when(F.col("cut") > 0, F.substr("rule", F.col("cut"))).otherwise(F.lit("")))
+    known = known.withColumn("expression", F.concat("rhost", "rpath")).select("rule", "verdict", F.length("rhost").alias("h"), F.length("rpath").alias("p"), *_digested(F.col("expression")))
+    # One rule an expression: block before allow.
+    known = known.groupBy("full", "short", "h", "p").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.coalesce(F.col("verdict") == "block", F.lit(False)), "rule")).alias("own"))
+    n = known.count()
+    lengths = known.groupBy("h").agg(F.array_sort(F.collect_set("p")).alias("p")).agg(F.array_sort(F.collect_list(F.struct("h", "p")))).first()[0]
+    lengths = F.from_json(F.lit(json.dumps([{"h": x.h, "p": x.p} for x in lengths])), "array<struct<h:int,p:array<int>>>")
 
     url = F.col("url").cast("string")
     after = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3)).otherwise(F.lit(""))
     rows = pages.select("page_id", F.coalesce(after, F.lit("")).alias("rest"))
     raw = F.regexp_extract("rest", r"^[^/?#]*", 0)
     rows = rows.select("page_id", lower_ascii(raw).alias("host"), F.regexp_extract(F.substr("rest", F.length(raw) + 1), r"^[^?#]*", 0).alias("path"))
-    rows = rows.groupBy("page_id", "host", "path").agg(F.count(F.lit(1)).alias("times"))
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    paths = F.transform(F.filter(lengths, lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
-    every = F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p)))))
-    expanded = rows.select("page_id", "host", "path", "times", F.explode_outer(F.when(F.col("host") != "", every)).alias("expression"))
-    expanded = expanded.withColumn("full", F.sha2("expression", 256)).withColumn("part", F.conv(F.substring("full", 1, 8), 16, 10).cast("long"))
-    side = F.broadcast(known) if n <= _MOST_RULES else known
-    fits = expanded.join(side, (F.col("part") == F.col("short")) & (F.col("full") == F.col("digest")), "left")
-    rank = F.struct(F.coalesce(F.length("rule"), F.lit(-1)).alias("long"), F.coalesce("host_length", F.lit(0)).alias("host"), F.coalesce(F.col("verdict") == "block", F.lit(False)).alias("block"))
-    won = fits.groupBy("page_id", "host", "path", "times").agg(F.max_by(F.struct("rule", "verdict"), F.struct(rank.alias("rank"), F.coalesce("digest", F.lit("")).alias("digest"))).alias("won"))
+    size = F.length("host")
+    fits = F.filter(lengths, lambda x: (x["h"] == size) | (x["h"] < size) & (F.substring(F.col("host"), size - x["h"], F.lit(1)) == "."))
+    prefixes = lambda x: F.transform(F.filter(x["p"], lambda p: p <= F.length("path")), lambda p: F.concat(F.substring(F.col("host"), size - x["h"] + 1, x["h"]), F.substring(F.col("path"), F.lit(1), p)))
+    every = F.when(F.col("host") != "", F.array_distinct(F.flatten(F.transform(fits, prefixes)))).otherwise(F.expr("cast(array() as array<string>)"))
+    # The null stands for the row itself: it counts how often a row occurs.
+    expanded = rows.select("page_id", "host", "path", F.explode(F.concat(every, F.array(F.lit(None).cast("string")))).alias("expression"))
+    expanded = expanded.select("page_id", "host", "path", *_digested(F.col("expression")))
+    if n <= _MOST_RULES:
+        met = expanded.join(F.broadcast(known), ["short", "full"], "left").filter("own IS NOT NULL OR full IS NULL")
+    else:
+        seen = expanded.filter("full IS NOT NULL").groupBy("short", "full").agg(F.count(F.lit(1)).alias("size")).join(known, ["short", "full"])
+        seen = Scratch(pages.sparkSession, "urls").put(seen.select("full", "size", "h", "p", "own"), "seen")
+        total = seen.agg(F.sum("size")).first()[0] or 0
+        met = attach(expanded.filter("full IS NOT NULL"), seen, "full", "size", total).unionByName(expanded.filter("full IS NULL"), allowMissingColumns=True)
+    best = F.max_by("own", F.when(F.col("own").isNotNull(), F.struct(F.length("own.rule"), "h", F.coalesce(F.col("own.verdict") == "block", F.lit(False)), "full")))
+    won = met.groupBy("page_id", "host", "path").agg(best.alias("won"), F.count_if(F.col("full").isNull()).alias("times"))
     each = won.select("page_id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("__copy"))
     return each.drop("__copy")

@@ -39,6 +39,15 @@ def test_precedence(spark):
     assert {r.page_id: r.verdict for r in judge_urls(pages, rules).collect()} == {1: "block", 2: "allow", 3: "block", 4: "block"}
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_hosts_alone_and_capitals(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "_MOST_RULES", most)
+    rules = [("net", "block"), ("Example.ORG/en/", "block"), ("/", "block"), (None, "block")]
+    pages = spark.createDataFrame([(1, "h://a.net"), (2, "h://net/x"), (3, "h://w.example.org/en/1"), (4, "h://w.example.org/EN/1"), (5, "h://xnet/"), (6, "h://dot./")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(pages.unionAll(pages), rules).collect()}
+    assert got == {1: ("net", "block"), 2: ("net", "block"), 3: ("Example.ORG/en/", "block"), 4: (None, "allow"), 5: (None, "allow"), 6: ("/", "block")}
+
+
 def test_whole_table(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf}/pages.parquet')")
