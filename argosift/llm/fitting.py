@@ -13,18 +13,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     """(text, label) of at most `most` labelled rows a label, those least by a hash of the id, outside the held-out fold.
 
     The ids come from `labels` alone; at most 2 * most of them are broadcast to find their texts in one scan. Null labels, ids
-    and texts are left out. Ids that repeat in `labels` count once, with their greatest label; of rows that share an id, the least text.
+    and texts are left out. Ids are compared as strings, so both tables may hold them in any type. Ids that repeat in `labels` count once, with their greatest label; of rows that share an id, the least text.
     """
     spark = docs.sparkSession
     marks = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", modulus) != held)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     marks = marks.select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
-    chosen = [(r["doc_id"], r["y"]) for y in (0, 1) for r in marks.filter(F.col("y") == y).orderBy("h", "doc_id").limit(most).collect()]
+    chosen = [(str(r["doc_id"]), r["y"]) for y in (0, 1) for r in marks.filter(F.col("y") == y).orderBy("h", "doc_id").limit(most).collect()]
     if not chosen:
         return []
-    ids = spark.createDataFrame(chosen, "__id long, y int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text")).filter(F.col("__text").isNotNull())
+    ids = spark.createDataFrame(chosen, "__id string, y int")
+    texts = docs.select(F.col("doc_id").cast("string").alias("__id"), F.col("text").cast("string").alias("__text")).filter(F.col("__text").isNotNull())
     got = texts.join(F.broadcast(ids), "__id").groupBy("__id", "y").agg(F.min("__text").alias("__text")).collect()
-    return [(r["__text"], r["y"]) for r in sorted(got, key=lambda r: (r["y"], r["__id"]))]
+    return [(r["__text"], r["y"]) for r in sorted(got, key=lambda r: (r["y"], len(r["__id"]), r["__id"]))]
 
 
 class Logistic:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import fold
 
 _HASHES = 3
+#: Languages that a model may tell apart.
+MOST_LANGUAGES = 1000
 
 
 def _grams(text: str, n: int) -> np.ndarray:
@@ -97,17 +99,22 @@ class BloomLanguages:
 
     @classmethod
     def fit(cls, docs: DataFrame, modulus: int = 4, held: int = 2, most: int = 1000) -> BloomLanguages:
-        """Fitted on about `most` documents a language outside the held-out fold, those least by a hash of the id.
+        """Fitted on about `most` different texts a language outside the held-out fold, those least by a hash of id and text.
 
-        One pass counts the languages, one takes from each the share of its ids that gives `most` of them in the mean.
+        One pass counts the languages, one takes from each the share of its rows that gives `most` of them in the mean. Equal rows are
+        drawn as one, so neither a null id nor a text with many copies can fill the sample. More than `MOST_LANGUAGES` values of lang are an error.
         """
-        known = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text"), F.col("lang").alias("__lang"))
+        known = docs.select(F.col("doc_id").cast("string").alias("__id"), F.col("text").cast("string").alias("__text"), F.col("lang").cast("string").alias("__lang"))
         known = known.filter(F.col("__lang").isNotNull() & F.col("__text").isNotNull() & (fold("__id", modulus) != held))
-        counts = {r[0]: r[1] for r in known.groupBy("__lang").count().collect()}
+        counts = {r[0]: r[1] for r in known.groupBy("__lang").count().limit(MOST_LANGUAGES + 1).collect()}
         if not counts:
             return cls([])
+        if len(counts) > MOST_LANGUAGES:
+            raise ValueError(f"more than {MOST_LANGUAGES} languages: a filter holds a bit for each")
         cuts = docs.sparkSession.createDataFrame([(x, int(min(1.0, most / n) * (2**31 - 1))) for x, n in counts.items()], "__lang string, cut long")
-        drawn = known.join(F.broadcast(cuts), "__lang").filter(F.xxhash64(F.coalesce(F.col("__id"), F.lit(0))).bitwiseAND(2**31 - 1) <= F.col("cut"))
+        place = F.xxhash64(F.coalesce("__id", F.lit("")), "__text")
+        drawn = known.withColumn("place", place).join(F.broadcast(cuts), "__lang").filter(F.col("place").bitwiseAND(2**31 - 1) <= F.col("cut"))
+        drawn = drawn.groupBy("__lang", "place").agg(F.min("__text").alias("__text"))
         return cls(sorted((r[0], r[1]) for r in drawn.select("__text", "__lang").collect()))
 
     def score(self, docs: DataFrame, text: str = "text", to: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -5,7 +5,8 @@ all of them, then a permuted run of blocks, of which the last is cut at a docume
 binary tree: at each node the left half's share of every source is one multivariate-hypergeometric draw. Each shard so
 owns disjoint runs of every source's permuted blocks, and shuffles what it holds by itself.
 
-The driver sees one row a source and one a block; there are at most `most_blocks` blocks in all, whatever the input's size.
+The driver sees one row a source and one a block, and these rows are broadcast. Both are bounded whatever the input's size: more than `most_sources` sources are
+an error, which is raised before any of them is gathered, and there are at most `most_blocks` blocks besides one for each source.
 """
 
 from __future__ import annotations
@@ -58,14 +59,16 @@ class Mixer:
     A drawn shard of more than `piece_words` words is several tasks, each with a run of the shard's hashed order.
     """
 
-    def __init__(self, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, shards: int = 16, block_words: int = 20_000, most_blocks: int = 100_000, piece_words: int = 5_000_000, seed: int = 11):
+    def __init__(self, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, shards: int = 16, block_words: int = 20_000, most_blocks: int = 100_000, most_sources: int = 100_000, piece_words: int = 5_000_000, seed: int = 11):
         self.weights, self.share, self.most, self.shards = weights, share, most, shards
-        self.block_words, self.most_blocks, self.piece_words, self.seed = block_words, most_blocks, piece_words, seed
+        self.block_words, self.most_blocks, self.most_sources, self.piece_words, self.seed = block_words, most_blocks, most_sources, piece_words, seed
 
     def plan(self, docs: DataFrame) -> tuple[DataFrame, list[dict]]:
         """`docs` with __size and __block, and for each source its size, target, blocks."""
         sized = docs.withColumn("__size", F.regexp_count(text_of(), F.lit(_WORD)).cast("long"))
-        found = [(r[0], r[1] or 0) for r in sized.groupBy(F.col("source").alias("__s")).agg(F.sum("__size")).collect()]
+        found = [(r[0], r[1] or 0) for r in sized.groupBy(F.col("source").alias("__s")).agg(F.sum("__size")).limit(self.most_sources + 1).collect()]
+        if len(found) > self.most_sources:
+            raise ValueError(f"more than {self.most_sources} sources; weigh groups of them, a domain's hosts for instance")
         found.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8", "surrogatepass")))
         sizes = [n for _, n in found]
         targets = _targets(sizes, [self.weights[i % len(self.weights)] for i in range(len(found))], self.share * sum(sizes), self.most)

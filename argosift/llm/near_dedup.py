@@ -33,8 +33,8 @@ class NearDedup:
     """Near-duplicate search over `k`-word shingles at a Jaccard similarity of `percent` / 100 or more.
 
     With the 20 bands of 4 minima a pair at exactly 0.8 shares no bucket with probability 3e-5, one at 0.9 with 1e-9.
-    Null and blank texts have the empty set and link with nothing. doc_id is unique but for repeated rows; of rows that share
-    a doc_id and differ in text any one text stands for all. Rows with a null doc_id take no part: null component, kept. Columns besides doc_id and text don't matter.
+    Null and blank texts have the empty set and link with nothing. doc_id is a whole number, unique but for repeated rows; of rows that share a
+    doc_id and differ in their sets, the set with the least digest, empty ones left out, is the document's, and each row has its own size. Rows with a null doc_id take no part: null component, kept. Columns besides doc_id and text don't matter.
     """
 
     def __init__(self, k: int = 5, percent: int = 80, bands: int = 20, rows: int = 4, block: int = 400):
@@ -65,15 +65,15 @@ class NearDedup:
         return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, n long, digest binary, sig binary, keys array<long>")
 
     def shingles(self, docs: DataFrame) -> DataFrame:
-        """(id, tokens): the sorted hashes of the whole shingle set."""
+        """(id, digest, tokens): the sorted hashes of the whole shingle set, and their digest."""
         k = self.k
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sets = [shingle_set(word_hashes(t.as_py()), k).view(np.int64) for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "tokens"])
+                sets = [shingle_set(word_hashes(t.as_py()), k) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(set_digest, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "digest", "tokens"])
 
-        return docs.mapInArrow(each, "id long, tokens array<long>")
+        return docs.mapInArrow(each, "id long, digest binary, tokens array<long>")
 
     def linked(self, common: str, a: str, b: str) -> str:
         return f"100 * {common} >= {self.percent} * ({a} + {b} - {common})"
@@ -83,12 +83,13 @@ class NearDedup:
         spark: SparkSession = docs.sparkSession
         scratch = Scratch(spark, "near")
         seen = scratch.put(self.signatures(docs), "signatures")
+        seen = self._one_set_an_id(seen, scratch)
         full = seen.filter("doc_id is not null and digest is not null")
         classes = full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
         classes = scratch.put(classes, "classes")
 
         # Step 2: buckets of classes, pivots, verified pairs.
-        reps = full.join(classes.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
+        reps = full.filter("keys is not null").join(classes.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
         reps = reps.select(F.col("doc_id").alias("id"), "digest", F.col("n").cast("int").alias("n"), "sig", "keys")
         entries = reps.select("id", "n", F.explode("keys").alias("key"))
         shared = scratch.put(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared")
@@ -103,11 +104,9 @@ class NearDedup:
         active = scratch.put(pairs.select("id").union(pairs.select("pivot")).distinct(), "active")
         sets = reps.join(active, "id", "left_semi").select("id", "digest", "sig")
         texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(active, "id", "left_semi")
-        tokens = self.shingles(texts).filter("size(tokens) > 0").dropDuplicates(["id"])
-        tokens = scratch.put(tokens.join(sets.dropDuplicates(["id"]), "id").select("id", F.size("tokens").alias("n"), "sig", "tokens"), "sets")
+        tokens = self.shingles(texts).join(sets.dropDuplicates(["id"]), ["id", "digest"])
+        tokens = scratch.put(tokens.dropDuplicates(["id"]).select("id", F.size("tokens").alias("n"), "sig", "tokens"), "sets")
         links = scratch.put(self._verified(pairs, tokens), "links")
-        same_id = classes.join(full.select("digest", "doc_id").distinct(), "digest").filter("doc_id <> id").join(reps.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-        links = links.unionByName(same_id)
         parts = connected_components(links, scratch)
 
         # Steps 3 and 4: what the pivots leave open.
@@ -126,6 +125,17 @@ class NearDedup:
         rest = seen.filter("doc_id is null or digest is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
         return done.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
+    @staticmethod
+    def _one_set_an_id(seen: DataFrame, scratch: Scratch) -> DataFrame:
+        """`seen`, in which rows of an id that has several sets all bear the least digest, and only rows with that set their signature."""
+        clash = seen.filter("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count_if(F.col("digest").isNull()).alias("empty"))
+        clash = scratch.put(clash.filter("lo <> hi or lo is not null and empty > 0").select("doc_id", "lo"), "clashes")
+        if clash.isEmpty():
+            return seen
+        own = F.col("lo").isNull() | F.col("digest").eqNullSafe(F.col("lo"))
+        marked = seen.join(clash, "doc_id", "left")
+        return scratch.put(marked.select("doc_id", "n", F.coalesce("lo", "digest").alias("digest"), F.when(own, F.col("sig")).alias("sig"), F.when(own, F.col("keys")).alias("keys")), "signatures")
+
     def _verified(self, pairs: DataFrame, tokens: DataFrame) -> DataFrame:
         """Of (id, n, pivot, pivot_n), the pairs that are links, as (a, b). Popular pivots are dealt out over salts."""
         fits = pairs.filter(f"100 * least(n, pivot_n) >= {self.percent} * greatest(n, pivot_n)")

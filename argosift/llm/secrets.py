@@ -27,12 +27,12 @@ _PARTS = "get set user name list map index count value total buffer stream reade
 
 
 def labelled_strings(n: int = 4000, seed: int = 5) -> list[tuple[str, int]]:
-    """Labelled samples, the same on every call: 1 for random strings (letters and digits, base64, hex), 0 for identifiers joined of words."""
+    """Labelled samples, the same on every call: 1 for random strings (letters and digits, base64, hex in either case), 0 for identifiers joined of words."""
     rng, out = random.Random(seed), []
     letters, hexa = ALPHABET[:62], "0123456789abcdef"
     for i in range(n):
         size = rng.randint(20, 48)
-        out.append(("".join(rng.choice((letters, ALPHABET[:64], hexa, letters[26:])[i % 4]) for _ in range(size)), 1))
+        out.append(("".join(rng.choice((letters, ALPHABET[:64], hexa, letters[26:], hexa.upper())[i % 5]) for _ in range(size)), 1))
         words = [rng.choice(_PARTS) for _ in range(rng.randint(3, 6))]
         shapes = ("_".join(words), "-".join(words), words[0] + "".join(w.title() for w in words[1:]), "_".join(words).upper(), "".join(words), "/".join(words), "_".join(words) + f"_{rng.randint(1, 2030)}", "".join(w.title() for w in words))
         out.append((shapes[i % 8], 0))

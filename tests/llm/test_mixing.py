@@ -7,6 +7,7 @@ from argosift.llm.mixing import Mixer, _targets, split_tree
 from argosift.llm.queries import op3_mixing
 
 from .conftest import edge_rows
+from .test_rescore import level
 
 
 def check(rows, sources):
@@ -16,7 +17,7 @@ def check(rows, sources):
         by[s].append(r)
     order = sorted(by, key=lambda s: (s is None, s or ""))
     sizes = [sum(r.size for r in by[s]) for s in order]
-    targets = _targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(sizes), 2)
+    targets = level(sizes, [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(sizes), 2)
     for s, n, t in zip(order, sizes, targets, strict=True):
         largest = max(r.size for r in by[s])
         assert all(r.source_size == n and r.target == pytest.approx(t) and r.taken <= 2 * r.size for r in by[s])

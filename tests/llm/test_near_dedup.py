@@ -7,7 +7,7 @@ from argosift.llm.common import Scratch
 from argosift.llm.components import connected_components
 from argosift.llm.near_dedup import NearDedup, drop_near_duplicates, near_dedup
 from argosift.llm.queries import op6_near_dedup
-from argosift.llm.shingles import shingle_set, word_hashes, words_of
+from argosift.llm.shingles import set_digest, shingle_set, word_hashes, words_of
 
 from . import brute
 from .conftest import edge_rows
@@ -67,6 +67,22 @@ def test_the_exact_rest_finds_what_pivots_leave(spark):
     assert got == brute.near(rows, 1, 70)
 
 
+def test_one_id_with_several_texts(spark):
+    """The set with the least digest is the document's, whatever the order of the rows."""
+    one, two = ("alpha beta gamma delta " * 3).strip(), ("kappa lambda mu nu " * 3).strip()
+    rows = [(1, one), (1, two), (1, two), (2, one), (3, two), (4, None), (4, two), (5, "other words than these here"), (6, one), (6, two)]
+    digest = lambda t: set_digest(shingle_set(word_hashes(t), 3))
+    own = {}
+    for i, t in rows:
+        if t and (i not in own or digest(t) < digest(own[i])):
+            own[i] = t
+    want = brute.near(sorted(own.items()), 3, 80)
+    for parts in (1, 5):
+        got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), 3, 80).collect()
+        assert len(got) == len(rows) and all(r.component_id == want[r.doc_id][1] for r in got)
+        assert sorted((r.doc_id, r.n_shingles) for r in got) == sorted((i, brute.near([(i, t)], 3, 80)[i][0]) for i, t in rows)
+
+
 def test_drop_keeps_columns(clashing):
     got = drop_near_duplicates(clashing, 4, 80)
     assert got.columns == clashing.columns
