@@ -63,10 +63,26 @@ import sys
 class Gone:
     def find_spec(self, name, *a):
         if name.startswith('corpus_pipeline') or name.startswith('argosift.llm'):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 sys.path.insert(0, {__spark_entry__.__file__.rpartition('/')[0]!r})
 import __spark_entry__ as e
 assert len(e.queries()) > 50 and not any(n.startswith('op') for n in e.queries()) and set(e.oracle_sql()) <= set(e.queries())
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
+def test_a_missing_package_is_no_missing_subpackage(tmp_path):
+    """What the optional modules need and don't find is an error, not a shorter list of queries."""
+    (tmp_path / "corpus_pipeline.py").write_text("import package_that_is_not_there\n")
+    code = f"""
+import sys
+sys.path[:0] = [{str(tmp_path)!r}, {__spark_entry__.__file__.rpartition('/')[0]!r}]
+try:
+    import __spark_entry__
+except ModuleNotFoundError as e:
+    assert e.name in ('package_that_is_not_there',)
+else:
+    assert __spark_entry__.corpus_pipeline is None  # the subpackage is gone altogether
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
