@@ -8,6 +8,7 @@ import corpus_pipeline
 from argosift.llm.common import Scratch, table
 
 from . import brute
+from .conftest import BASE
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -80,6 +81,42 @@ def test_mix(steps):
     assert b.select("shard").distinct().count() > 4
 
 
+def put(spark, folder, docs):
+    """The three tables that the pipeline reads, in `folder`."""
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 1, 0), (8, 0, 0), (14, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, BASE), (2, None), (None, "word")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_edge_rows_through_all_stages(spark, clashing, tmp_path):
+    folder = str(tmp_path / "edge")
+    put(spark, folder, clashing)
+    docs, seen = table(spark, folder, "documents"), []
+    for name, stage in corpus_pipeline.STAGES:
+        given, scratch = docs, Scratch(spark, "edge")
+        docs = scratch.put(stage(spark, docs, folder), name)
+        seen.append([(r.doc_id, r.text) for r in docs.collect()])
+        assert sorted(docs.columns) == sorted(given.columns)
+        if name == "exact_dedup":
+            texts = [t or "" for _, t in seen[0]]
+            assert sorted(t or "" for _, t in seen[1]) == sorted(set(texts))
+            assert all((i is None) == all(j is None for j, u in seen[0] if (u or "") == (t or "")) for i, t in seen[1])
+        if name == "near_dedup":
+            parts = brute.near([(i, t) for i, t in seen[1] if i is not None], 5, 80)
+            assert sorted(map(str, seen[2])) == sorted(str((i, t)) for i, t in seen[1] if i is None or parts[i][1] == i)
+        if name == "decontamination":
+            bad = brute.leaks(seen[2], [(1, BASE), (2, None), (None, "word")])
+            assert sorted(map(str, seen[3])) == sorted(str(r) for r, b in zip(seen[2], bad, strict=True) if not b[-1])
+    assert set(seen[4]) <= set(seen[3]) and seen[3]
+
+
+def test_no_rows_through_all_stages(spark, empty, tmp_path):
+    folder = str(tmp_path / "none")
+    put(spark, folder, empty)
+    got = corpus_pipeline.run(spark, folder)
+    assert got.count() == 0 and set(empty.columns) <= set(got.columns)
+
+
 def test_registered(spark, sf):
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op")}
