@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import count_char, count_tags, has_url, tokens
+from .text import _text, count_char, count_tags, has_url, tokens
 
 # Word lists. In the moral foundations `*` stands for any ending.
 MORAL_FOUNDATIONS = {
@@ -64,9 +64,9 @@ def _n(found: Column) -> Column:
     return F.greatest(F.size(found), F.lit(1))
 
 
-def type_rates(text: Column | str, lexicon: dict[str, list[str]], prefix: str = "nrc_") -> dict[str, Column]:
+def type_rates(text: Column | str, lexicon: dict[str, list[str]], prefix: str = "nrc_", found: Column | None = None) -> dict[str, Column]:
     """For each category, the distinct words of it in the text per 100 tokens. (L1)"""
-    found = tokens(text)
+    found = tokens(text) if found is None else found
     return {prefix + k: F.size(F.array_intersect(found, F.array(*map(F.lit, sorted(v))))) / _n(found) * 100 for k, v in lexicon.items()}
 
 
@@ -78,17 +78,31 @@ def pattern_of(words: list[str]) -> str:
     return f"^(?:{'|'.join(parts)})$" if parts else "^(?!)"
 
 
-def token_rates(text: Column | str, lexicon: dict[str, list[str]] = MORAL_FOUNDATIONS, prefix: str = "mfd2_") -> dict[str, Column]:
+def any_pattern(words: list[str]) -> str:
+    """One pattern for whole tokens that fit any of the words and prefixes; alternatives stand under their first letter, so few are tried."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        by.setdefault(w[0], []).append(w[1:-1] + "[a-z]*" if w.endswith("*") else w[1:])
+    return f"(?<![a-z])(?:{'|'.join(f'{k}(?:{chr(124).join(v)})' for k, v in sorted(by.items()))})(?![a-z])" if by else "(?!)"
+
+
+def lexicon_hits(text: Column | str, lexicon: dict[str, list[str]] = MORAL_FOUNDATIONS) -> Column:
+    """The tokens of a text that any category has, by one pass over it."""
+    return F.regexp_extract_all(F.lower(_text(text)), F.lit(any_pattern([w for v in lexicon.values() for w in v])), F.lit(0))
+
+
+def token_rates(text: Column | str, lexicon: dict[str, list[str]] = MORAL_FOUNDATIONS, prefix: str = "mfd2_", found: Column | None = None, hits: Column | None = None) -> dict[str, Column]:
     """For each category, the tokens that fit any of its patterns per 100 tokens. (L2, L4)"""
-    found = tokens(text)
-    fitting = lambda p: F.size(F.filter(found, lambda t: t.rlike(p)))
+    found = tokens(text) if found is None else found
+    hits = lexicon_hits(text, lexicon) if hits is None else hits
+    fitting = lambda p: F.size(F.filter(hits, lambda t: t.rlike(p)))
     return {prefix + k: fitting(pattern_of(v)) / _n(found) * 100 for k, v in lexicon.items()}
 
 
-def register_features(text: Column | str) -> dict[str, Column]:
+def register_features(text: Column | str, found: Column | None = None) -> dict[str, Column]:
     """Word length, type-token ratio, word count (1 for none), rates per 100 words, url flag."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    found = tokens(t)
+    found = tokens(t) if found is None else found
     n = _n(found)
     share = lambda words: F.size(F.filter(found, lambda x: x.isin(words))) / n * 100
     letters = F.aggregate(found, F.lit(0), lambda a, x: a + F.length(x))
@@ -99,10 +113,10 @@ def register_features(text: Column | str) -> dict[str, Column]:
     }
 
 
-def readability(text: Column | str) -> dict[str, Column]:
+def readability(text: Column | str, found: Column | None = None) -> dict[str, Column]:
     """Flesch-Kincaid grade and Flesch reading ease; syllables are runs of vowels, so both are approximate."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    found = tokens(t)
+    found = tokens(t) if found is None else found
     syllables = F.aggregate(found, F.lit(0), lambda a, w: a + F.greatest(F.lit(1), F.regexp_count(F.regexp_replace(w, "e$", ""), F.lit("[aeiouy]+"))))
     sentences = F.greatest(F.regexp_count(t, F.lit(r"[.!?]+(?:\s|$)")), F.lit(1))
     per_sentence, per_word = F.size(found) / sentences, syllables / _n(found)
@@ -113,20 +127,20 @@ def readability(text: Column | str) -> dict[str, Column]:
 VALENCE = {w: v for v, words in ((0.6, "good great love best win safe hope happy strong better support benefit"), (-0.6, "bad worst hate fear crisis danger disaster wrong fail corrupt threat harm")) for w in words.split()}
 
 
-def polarity(text: Column | str, valence: dict[str, float] = VALENCE) -> dict[str, Column]:
+def polarity(text: Column | str, valence: dict[str, float] = VALENCE, found: Column | None = None) -> dict[str, Column]:
     """Compound, positive, negative and neutral shares from a valence list: a plain stand-in for a rule-based scorer."""
-    found = tokens(text)
+    found = tokens(text) if found is None else found
     good, bad = ([w for w, v in valence.items() if (v > 0) == up] for up in (True, False))
     pos, neg = F.size(F.filter(found, lambda x: x.isin(good))), F.size(F.filter(found, lambda x: x.isin(bad)))
     raw = (pos - neg) * 0.6 * 4
     return {"vader_compound": raw / F.sqrt(raw * raw + 15), "vader_pos": pos / _n(found), "vader_neg": neg / _n(found), "vader_neu": (F.size(found) - pos - neg) / _n(found)}
 
 
-def entity_rates(text: Column | str) -> dict[str, Column]:
+def entity_rates(text: Column | str, found: Column | None = None) -> dict[str, Column]:
     """A column for each entity label, null: no recogniser is at hand. Patterns give dates, money and percentages."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     known = {"MONEY": r"[$€£]\s?[0-9][0-9.,]*", "PERCENT": r"[0-9]+(?:\.[0-9]+)?\s?%", "DATE": r"\b(?:19|20)[0-9]{2}\b"}
-    return {f"ner_{k.lower()}": F.regexp_count(t, F.lit(known[k])) / _n(tokens(t)) * 100 if k in known else F.lit(None).cast("double") for k in ENTITY_LABELS}
+    return {f"ner_{k.lower()}": F.regexp_count(t, F.lit(known[k])) / _n(tokens(t) if found is None else found) * 100 if k in known else F.lit(None).cast("double") for k in ENTITY_LABELS}
 
 
 def stands_alone(text: Column | str) -> Column:
@@ -152,6 +166,11 @@ def overlap_f1(claim: Column | str, source: Column | str) -> Column:
     return F.when(F.size(b) > 0, 2 * common / F.greatest(F.size(a) + F.size(b), F.lit(1)))
 
 
-def all_features(text: Column | str) -> dict[str, Column]:
-    """Every feature of a text in one projection."""
-    return reduce(lambda a, b: a | b, [register_features(text), readability(text), token_rates(text), polarity(text), entity_rates(text)])
+def tokenised(df: DataFrame, text: str = "text", lexicon: dict[str, list[str]] = MORAL_FOUNDATIONS) -> DataFrame:
+    """`df` with __tokens and __hits, made once a text: in expressions over arrays Spark would make them anew for each feature."""
+    return df.withColumns({"__tokens": tokens(text), "__hits": lexicon_hits(text, lexicon)})
+
+
+def all_features(text: Column | str, found: Column | None = None, hits: Column | None = None) -> dict[str, Column]:
+    """Every feature of a text in one projection; `found` and `hits` are the columns of `tokenised`, where they are at hand."""
+    return reduce(lambda a, b: a | b, [register_features(text, found), readability(text, found), token_rates(text, found=found, hits=hits), polarity(text, found=found), entity_rates(text, found)])

@@ -223,3 +223,64 @@ class EchoClient:
 
     def __call__(self, prompt: str) -> str:
         return self.reply(prompt) if callable(self.reply) else self.reply
+
+
+class Scorer(Protocol):
+    """Texts in, a value for each out: a rewrite, a perplexity, triplets. It is sent to the executors, so it must pickle. (M7)"""
+
+    def __call__(self, texts: list[str]) -> list: ...
+
+
+def score(df: DataFrame, column: str, scorer: Scorer, to: str, kind: str, size: int = 64) -> DataFrame:
+    """`df` with a scorer's value of a text column, `size` texts at a time; the scorer comes to each task once. Null texts count as ''. (M7)"""
+    at = df.columns.index(column)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [t or "" for t in pdf.iloc[:, at]]
+            got = [v for i in range(0, len(texts), size) for v in scorer(texts[i : i + size])]
+            yield pdf.assign(**{to: pd.Series(got, index=pdf.index, dtype=object)})
+
+    return df.mapInPandas(each, df.select("*", F.lit(None).cast(kind).alias(to)).schema)
+
+
+class TidyRewriter:
+    """Offline stand-in for a grammar model: one blank between words, none before a mark, a capital first, a full stop last. (M7)"""
+
+    def __call__(self, texts: list[str]) -> list[str]:
+        out = []
+        for t in texts:
+            t = re.sub(r"\s+([,.;:!?])", r"\1", " ".join(t.split()))
+            out.append(t[:1].upper() + t[1:] + ("" if not t or t[-1] in ".!?" else "."))
+        return out
+
+
+class CharPerplexity:
+    """Offline stand-in for a language model: perplexity under character pairs of a few plain sentences. (M7)"""
+
+    SENTENCES = "The people of the town say that the river is clean again. We hope that this will help all of them. There is more work to do, and they know it. Energy and climate are on the table today."
+
+    def __init__(self):
+        self.pairs: dict[str, int] = {}
+        self.singles: dict[str, int] = {}
+        for a, b in zip(self.SENTENCES, self.SENTENCES[1:], strict=False):
+            self.pairs[a + b] = self.pairs.get(a + b, 0) + 1
+            self.singles[a] = self.singles.get(a, 0) + 1
+
+    def __call__(self, texts: list[str]) -> list[float]:
+        out = []
+        for t in texts:
+            bits = [np.log((self.pairs.get(a + b, 0) + 0.1) / (self.singles.get(a, 0) + 10)) for a, b in zip(t, t[1:], strict=False)]
+            out.append(float(np.exp(-np.mean(bits))) if bits else 1.0)
+        return out
+
+
+class ClauseTriplets:
+    """Offline stand-in for relation extraction: first and last word of each clause, linearised as a relation model would."""
+
+    def __call__(self, texts: list[str]) -> list[str]:
+        out = []
+        for t in texts:
+            clauses = [c.split() for c in re.split(r"[.!?;,]", t)]
+            out.append(" ".join(f"<triplet> {c[0]} <subj> {c[-1]} <obj> {c[1]}" for c in clauses if len(c) > 2))
+        return out

@@ -216,3 +216,24 @@ def available(df: DataFrame, metrics: list[str]) -> list[str]:
     there = [m for m in metrics if m in df.columns]
     found = df.agg(*[F.count(F.nanvl(F.col(m).cast("double"), F.lit(None))).alias(m) for m in there]).first() if there else {}
     return [m for m in there if found[m]]
+
+
+def choose(df: DataFrame, keep: list[str], drop: list[str] = (), rename: dict[str, str] | None = None) -> DataFrame:
+    """The columns to keep that are there, without those to drop, under new names."""
+    return df.select(*[F.col(c).alias((rename or {}).get(c, c)) for c in keep if c in df.columns and c not in drop])
+
+
+def with_merged_id(df: DataFrame, merged: DataFrame, segment: str = "segment", cluster: str = "cluster_id") -> DataFrame:
+    """`df` with the merged_id of its segment and cluster, null without one."""
+    return df.join(merged.select(segment, cluster, "merged_id"), [segment, cluster], "left")
+
+
+def map_values(column: str, names: dict) -> Column:
+    """A column's values through a small map, null for values it lacks."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col(column))
+
+
+def column_sets(a: DataFrame, b: DataFrame) -> dict[str, list[str]]:
+    """Columns that both have, that only one has, and all of them, in order."""
+    left, right = a.columns, b.columns
+    return {"common": [c for c in left if c in right], "left": [c for c in left if c not in right], "right": [c for c in right if c not in left], "both": left + [c for c in right if c not in left]}

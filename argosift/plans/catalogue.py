@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning, features, flows, relations, replies, spaces  # noqa: F401  they register their queries
+from . import calls, cleaning, features, flows, readers, relations, replies, shapes, spaces  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 

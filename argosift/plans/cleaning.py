@@ -60,11 +60,11 @@ def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""WITH t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS one FROM documents)
-SELECT doc_id, one AS collapsed, lower(one) AS label, CASE WHEN length(one) > 60 THEN substr(one, 1, 60) || ' …' ELSE one END AS truncated, regexp_replace(substr(one, 1, 40), '[^A-Za-z0-9_\-]+', '_', 'g') AS safe FROM t""")
+SELECT doc_id, one AS collapsed, lower(one) AS label, CASE WHEN length(one) > 60 THEN substr(one, 1, 60) || ' …' ELSE one END AS truncated, regexp_replace(one, '[^A-Za-z0-9_\-]+', '_', 'g') AS safe FROM t""")
 def text_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collapsed, as a label, truncated, and fit for a file name."""
     one = T.collapse("text")
-    return table(spark, sf_dir, "documents").select("doc_id", one.alias("collapsed"), T.normalize_label("text").alias("label"), T.truncate("text", 60, collapsed=True).alias("truncated"), T.safe_name(F.substring(one, 1, 40)).alias("safe"))
+    return table(spark, sf_dir, "documents").select("doc_id", one.alias("collapsed"), T.normalize_label("text").alias("label"), T.truncate("text", 60, collapsed=True).alias("truncated"), T.safe_name(one).alias("safe"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents),
@@ -91,18 +91,21 @@ def text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens("text")).alias("n_tokens"), T.count_char("text", "!").alias("exclaims"), T.count_tags("text", "@").alias("mentions"), T.count_tags("text", "#").alias("hashtags"), T.has_url("text").alias("has_url"))
 
 
-@query("""WITH t AS (SELECT item_id, substr(regexp_replace(lower(text), '[^a-z ]', '', 'g'), 1, 300) AS x FROM benchmark)
-SELECT a.item_id AS item_id, round(levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x), 1), 9) AS ratio FROM t a JOIN t b ON a.item_id + 1 = b.item_id""")
+@query("""SELECT a.item_id AS item_id, round(levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text), 1), 9) AS ratio
+FROM (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS text FROM benchmark) a JOIN (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS text FROM benchmark) b ON a.item_id + 1 = b.item_id""")
 def levenshtein_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distance of each benchmark item to the next one, by the longer length, over the first 300 of the letters a to z and blanks alone. `levenshtein_whole` takes whole texts."""
-    t = table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), 1, 300).alias("x"))
-    after = t.select((F.col("item_id") - 1).alias("item_id"), F.col("x").alias("y"))
-    return t.join(after, "item_id").select("item_id", F.round(T.levenshtein_ratio("x", "y"), 9).alias("ratio"))
+    """Edit distance of the whole text of each benchmark item to that of the next one, by the longer length.
+
+    DuckDB's distance counts bytes, so on both sides a non-ASCII character is first made one mark; `levenshtein_whole` takes texts as they are.
+    """
+    t = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("text"))
+    after = t.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("after"))
+    return t.join(after, "item_id").select("item_id", F.round(T.levenshtein_ratio("text", "after"), 9).alias("ratio"))
 
 
 @query()
 def levenshtein_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distance of the whole text of each benchmark item to that of the next one, by the longer length. (No SQL: DuckDB counts bytes.)"""
+    """The same over the characters of the texts as they are. (No SQL: DuckDB counts bytes.)"""
     t = table(spark, sf_dir, "benchmark").select("item_id", "text")
     after = t.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("after"))
     return t.join(after, "item_id").select("item_id", F.round(T.levenshtein_ratio("text", "after"), 9).alias("ratio"))

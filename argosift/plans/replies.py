@@ -9,32 +9,43 @@ from ..functions import parse as P
 from ..functions import text as T
 from .registry import query, table
 
-#: A reply for each document, in eight shapes: an object with all keys, without some, with null, fenced, cut off, an array, `null`, plain text.
-_SHAPES_SQL = """replies AS (SELECT doc_id, CASE doc_id % 8
-WHEN 0 THEN '{"claim": "c' || doc_id || '", "ground": "g", "warrant": "w"}' WHEN 1 THEN '{"claim": "c' || doc_id || '"}' WHEN 2 THEN '{"claim": null, "ground": " "}'
-WHEN 3 THEN '```json' || chr(10) || '{"claim": "c", "confidence": ' || (doc_id % 150) || '}' || chr(10) || '```' WHEN 4 THEN '{"claim": "c' WHEN 5 THEN '["claim"]' WHEN 6 THEN 'null' ELSE 'No claim here.' END AS reply FROM documents)"""
+#: A reply for each document in eight shapes, made of its own columns: an object with all keys, without some, with null, fenced with words around
+#: it, cut off, an array, `null`, the plain text. `js` is the reply where it is JSON; `object` the first object in it, its fence taken off and open braces closed.
+_SHAPES_SQL = r"""replies AS (SELECT doc_id, CASE doc_id % 8
+WHEN 0 THEN json_object('claim', coalesce(text, ''), 'ground', coalesce(source, ''), 'warrant', coalesce(lang, ''))::VARCHAR WHEN 1 THEN json_object('claim', coalesce(text, ''))::VARCHAR
+WHEN 2 THEN json_object('claim', NULL, 'ground', ' ', 'evidence', coalesce(lang, ''))::VARCHAR
+WHEN 3 THEN 'Here:' || chr(10) || '```json' || chr(10) || json_object('claim', CASE WHEN n_chars % 2 = 0 THEN ' Claim' ELSE 'no claim' END, 'confidence', n_chars % 150, 'evidence', coalesce(text, ''))::VARCHAR || chr(10) || '```'
+WHEN 4 THEN '{"claim": "claim", "confidence": ' || n_chars % 90 || ', "more": {"a": 1' WHEN 5 THEN json_array(coalesce(source, ''))::VARCHAR WHEN 6 THEN 'null' ELSE coalesce(text, '') END AS reply FROM documents),
+read AS (SELECT doc_id, reply, CASE WHEN json_valid(reply) THEN reply END AS js,
+ CASE WHEN contains(reply, '```json') THEN regexp_extract(reply, '```json\s*(\{.*\})\s*```', 1, 's') WHEN json_valid(reply) AND reply LIKE '{%' THEN reply WHEN reply LIKE '{%' THEN reply || '}}' END AS object FROM replies)"""
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, reply) for every document."""
-    n = F.col("doc_id").cast("string")
-    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    of = lambda **keys: F.to_json(F.struct(*[c.alias(k) for k, c in keys.items()]), {"ignoreNullFields": "false"})
+    own = lambda c: F.coalesce(c, F.lit(""))
+    text, size = own("text"), F.col("n_chars")
     shapes = [
-        text('{"claim": "c', n, '", "ground": "g", "warrant": "w"}'), text('{"claim": "c', n, '"}'), F.lit('{"claim": null, "ground": " "}'),
-        text('```json\n{"claim": "c", "confidence": ', (F.col("doc_id") % 150).cast("string"), "}\n```"), F.lit('{"claim": "c'), F.lit('["claim"]'), F.lit("null"), F.lit("No claim here."),
+        of(claim=text, ground=own("source"), warrant=own("lang")), of(claim=text), of(claim=F.lit(None).cast("string"), ground=F.lit(" "), evidence=own("lang")),
+        F.concat(F.lit("Here:\n```json\n"), of(claim=F.when(size % 2 == 0, " Claim").otherwise("no claim"), confidence=size % 150, evidence=text), F.lit("\n```")),
+        F.concat(F.lit('{"claim": "claim", "confidence": '), (size % 90).cast("string"), F.lit(', "more": {"a": 1')), F.to_json(F.array(own("source"))), F.lit("null"), text,
     ]
     return table(spark, sf_dir, "documents").select("doc_id", F.get(F.array(*shapes), (F.col("doc_id") % 8).cast("int")).alias("reply"))
 
 
-@query(f"""WITH {_SHAPES_SQL} SELECT doc_id, CASE WHEN doc_id % 8 IN (0, 1) THEN 'c' || doc_id ELSE NULL END AS claim,
-CASE doc_id % 8 WHEN 0 THEN 'g' WHEN 1 THEN 'Not present' WHEN 2 THEN ' ' END AS ground, CASE doc_id % 8 WHEN 0 THEN 'w' WHEN 1 THEN 'Not present' WHEN 2 THEN 'Not present' END AS warrant FROM replies""")
+_KEY = "CASE WHEN js IS NULL OR json_type(js) <> 'OBJECT' THEN NULL WHEN NOT json_exists(js, '$.{k}') THEN 'Not present' ELSE json_extract_string(js, '$.{k}') END AS {k}"
+_BARE = r"nullif(regexp_replace(CASE WHEN json_type(js) = 'OBJECT' THEN json_extract_string(js, '$.{k}') END, '^\s+|\s+$', '', 'g'), '')"
+_OR_ABSENT = f"coalesce({_BARE}, 'Not present') AS {{k}}"
+
+
+@query(f"WITH {_SHAPES_SQL} SELECT doc_id, {', '.join(_KEY.format(k=k) for k in ('claim', 'ground', 'warrant'))} FROM read")
 def toulmin_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claim, ground and warrant; absent keys say so, an explicit null stays null."""
     found = P.toulmin("reply")
     return replies(spark, sf_dir).select("doc_id", found["claim"].alias("claim"), found["ground"].alias("ground"), found["warrant"].alias("warrant"))
 
 
-@query(f"WITH {_SHAPES_SQL} SELECT doc_id, CASE WHEN doc_id % 8 IN (0, 1) THEN 'c' || doc_id ELSE 'Not present' END AS claim, CASE WHEN doc_id % 8 = 0 THEN 'g' ELSE 'Not present' END AS ground FROM replies")
+@query(f"WITH {_SHAPES_SQL} SELECT doc_id, {', '.join(_OR_ABSENT.format(k=k) for k in ('claim', 'ground'))} FROM read")
 def key_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of a reply, with a word for those that aren't there."""
     found = P.claim_and_ground("reply")
@@ -47,8 +58,8 @@ def valid_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies(spark, sf_dir).select("doc_id", P.valid_json("reply").alias("valid"))
 
 
-@query("""SELECT round(avg(CASE WHEN doc_id % 8 IN (0, 1) THEN 1.0 ELSE 0 END), 9) AS claim_rate, round(avg(CASE WHEN doc_id % 8 = 0 THEN 1.0 ELSE 0 END), 9) AS warrant_rate,
-round(avg(CASE WHEN doc_id % 8 = 0 THEN 0.0 ELSE 1 END), 9) AS no_ground_rate, round(avg(CASE WHEN doc_id % 8 = 1 THEN 1.0 ELSE 0 END), 9) AS claim_no_ground_rate, count(*) AS n FROM documents""")
+@query(f"""WITH {_SHAPES_SQL}, k AS (SELECT {', '.join(f'{_BARE.format(k=k)} IS NOT NULL AS {k}' for k in ('claim', 'ground', 'warrant'))} FROM read)
+SELECT round(avg(claim::INTEGER), 9) AS claim_rate, round(avg(warrant::INTEGER), 9) AS warrant_rate, round(avg((NOT ground)::INTEGER), 9) AS no_ground_rate, round(avg((claim AND NOT ground)::INTEGER), 9) AS claim_no_ground_rate, count(*) AS n FROM k""")
 def toulmin_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often replies state a claim, a warrant, no ground."""
     there = lambda k: P.key_or_absent("reply", k) != P.ABSENT
@@ -56,11 +67,13 @@ def toulmin_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies(spark, sf_dir).agg(rate(there("claim"), "claim_rate"), rate(there("warrant"), "warrant_rate"), rate(~there("ground"), "no_ground_rate"), rate(there("claim") & ~there("ground"), "claim_no_ground_rate"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_SHAPES_SQL} SELECT doc_id, CASE WHEN doc_id % 8 IN (0, 1, 2, 3) THEN 'No Claim' END AS claim, CASE WHEN doc_id % 8 = 3 THEN least(doc_id % 150, 100)::VARCHAR WHEN doc_id % 8 IN (0, 1, 2) THEN '0' END AS confidence FROM replies""")
+@query(f"""WITH {_SHAPES_SQL}, o AS (SELECT doc_id, CASE WHEN json_valid(object) THEN object END AS o FROM read)
+SELECT doc_id, CASE WHEN o IS NULL THEN NULL WHEN lower(trim(coalesce(json_extract_string(o, '$.claim'), ''))) = 'claim' THEN 'Claim' ELSE 'No Claim' END AS claim,
+CASE WHEN o IS NOT NULL THEN greatest(0, least(100, coalesce(try_cast(json_extract_string(o, '$.confidence') AS INTEGER), 0)))::VARCHAR END AS confidence, CASE WHEN o IS NOT NULL THEN coalesce(json_extract_string(o, '$.evidence'), '') END AS evidence FROM o""")
 def claim_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags from the first JSON object of a reply, in a fence or cut off as it may be."""
     flag = P.claim_flag("js")
-    return replies(spark, sf_dir).select("doc_id", P.first_json_udf("reply").alias("js")).select("doc_id", flag["claim"].alias("claim"), flag["confidence"].cast("string").alias("confidence"))
+    return replies(spark, sf_dir).select("doc_id", P.first_json_udf("reply").alias("js")).select("doc_id", flag["claim"].alias("claim"), flag["confidence"].cast("string").alias("confidence"), flag["evidence"].alias("evidence"))
 
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
@@ -130,20 +143,28 @@ def relevance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(F.posexplode("items").alias("i", "item"), labels.alias("labels")).select("item.doc_id", F.get("labels", F.col("i")).alias("relevance"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END::INTEGER AS pairs, CASE WHEN doc_id % 4 = 1 THEN 0 ELSE 1 END::INTEGER AS atomic FROM documents")
+@query(r"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(replace(coalesce(text, ''), '<', ' '), '\s+', ' ', 'g'), ' '), ' ') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, (len(w) + 2) // 3)) AS i FROM w),
+p AS (SELECT doc_id, [least(coalesce(w[3 * i + 1], ''), coalesce(w[3 * i + 2], '')), greatest(coalesce(w[3 * i + 1], ''), coalesce(w[3 * i + 2], ''))] AS pair FROM c), d AS (SELECT doc_id, count(DISTINCT pair) FILTER (pair[1] <> '' AND pair[2] <> '')::INTEGER AS pairs FROM p GROUP BY doc_id)
+SELECT doc_id, pairs, (pairs <= 1)::INTEGER AS atomic FROM d""")
 def triplet_atomicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct pairs of a relation string; a claim is atomic with one at most."""
-    strings = ["<triplet> a <subj> b <obj> r <triplet> b <subj> a <obj> s", "<triplet> a <subj> b <obj> r <triplet> a <subj> c <obj> r", "<triplet> s <subj> o1 <obj> r1 <subj> o2 <obj> r2", ""]
-    made = F.get(F.array(*map(F.lit, strings)), (F.col("doc_id") % 4).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(P.triplet_pairs(made)).alias("pairs"), P.atomic(made).alias("atomic"))
-
-
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN -1 ELSE (doc_id % 2)::INTEGER END AS atomicity, CASE WHEN doc_id % 3 = 2 THEN -1 ELSE 1 END::INTEGER AS faithfulness FROM documents")
+    """Distinct pairs of a relation string made of a text's words, three by three; a claim is atomic with one pair at most."""
+    cut = F.split(F.trim(F.regexp_replace(F.replace(F.coalesce("text", F.lit("")), F.lit("<"), F.lit(" ")), r"(?U)\s+", " ")), " ")
+    word = lambda i: F.coalesce(F.get("w", i), F.lit(""))
+    one = lambda i: F.concat(F.lit("<triplet> "), word(3 * i), F.lit(" <subj> "), word(3 * i + 1), F.lit(" <obj> "), word(3 * i + 2))
+    made = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 3).cast("int")), one), " ")
+    rows = table(spark, sf_dir, "documents").select("doc_id", cut.alias("w")).select("doc_id", made.alias("made"))
+    return rows.select("doc_id", F.size(P.triplet_pairs("made")).alias("pairs"), P.atomic("made").alias("atomic"))
+
+
+@query("""WITH r AS (SELECT doc_id, CASE WHEN n_chars % 3 = 2 THEN coalesce(text, '') ELSE json_object('atomicity', n_chars % 2, 'fluency', 1, 'decontextualization', 0, 'faithfulness', n_chars % 5 = 0, 'reasoning', coalesce(text, ''))::VARCHAR END AS reply FROM documents),
+j AS (SELECT doc_id, CASE WHEN json_valid(reply) AND reply LIKE '{%' THEN reply END AS js FROM r)
+SELECT doc_id, coalesce(json_extract_string(js, '$.atomicity')::INTEGER, -1) AS atomicity, coalesce(json_extract_string(js, '$.faithfulness')::BOOLEAN::INTEGER, -1) AS faithfulness, coalesce(json_extract_string(js, '$.reasoning'), 'unreadable reply') AS reasoning FROM j""")
 def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A judge's scores, all -1 where the reply can't be read."""
-    good = F.concat(F.lit('{"atomicity": '), (F.col("doc_id") % 2).cast("string"), F.lit(', "fluency": 1, "decontextualization": 0, "faithfulness": 1, "reasoning": "r"}'))
-    found = P.judge_scores(F.when(F.col("doc_id") % 3 == 2, "no json").otherwise(good))
-    return table(spark, sf_dir, "documents").select("doc_id", found["atomicity"].alias("atomicity"), found["faithfulness"].alias("faithfulness"))
+    size, text = F.col("n_chars"), F.coalesce("text", F.lit(""))
+    good = F.to_json(F.struct((size % 2).alias("atomicity"), F.lit(1).alias("fluency"), F.lit(0).alias("decontextualization"), (size % 5 == 0).alias("faithfulness"), text.alias("reasoning")))
+    found = P.judge_scores(F.when(size % 3 == 2, text).otherwise(good))
+    return table(spark, sf_dir, "documents").select("doc_id", found["atomicity"].alias("atomicity"), found["faithfulness"].alias("faithfulness"), found["reasoning"].alias("reasoning"))
 
 
 @query("""SELECT conv_id, turn, coalesce(text, '') AS content, CASE lower(trim(coalesce(role, ''))) WHEN 'user' THEN 'Yes' WHEN 'system' THEN 'No' ELSE 'Skip' END AS choice, CASE role WHEN 'user' THEN 'true' WHEN 'system' THEN 'false' END AS stored FROM conversations""")
@@ -154,12 +175,17 @@ def chat_and_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", P.chat_content(reply).alias("content"), choice.alias("choice"), P.choice_to_value(choice, booleans=True).cast("string").alias("stored"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'topic' WHEN 1 THEN 'Unknown' WHEN 2 THEN 'topic' END AS topic, CASE doc_id % 4 WHEN 0 THEN 'a|b' WHEN 1 THEN 'c|d' WHEN 2 THEN '' END AS keywords FROM documents")
+@query(r"""WITH r AS (SELECT doc_id, CASE n_chars % 4 WHEN 0 THEN json_object('topic', ' ' || coalesce(text, '') || ' ', 'summary', 's', 'keywords', json_array(coalesce(source, ''), coalesce(lang, '')))::VARCHAR WHEN 1 THEN json_object('summary', coalesce(text, ''), 'keywords', coalesce(source, '') || ' , ' || coalesce(lang, '') || ',')::VARCHAR
+WHEN 2 THEN json_object('topic', coalesce(source, ''), 'summary', 's')::VARCHAR ELSE json_object('topic', n_chars, 'summary', 's')::VARCHAR END AS js FROM documents),
+k AS (SELECT doc_id, js, coalesce(json_type(js, '$.topic'), 'VARCHAR') = 'VARCHAR' AS good, json_type(js, '$.keywords') AS kind FROM r)
+SELECT doc_id, CASE WHEN good THEN coalesce(nullif(regexp_replace(json_extract_string(js, '$.topic'), '^\s+|\s+$', '', 'g'), ''), 'Unknown') END AS topic,
+CASE WHEN NOT good THEN NULL WHEN kind = 'ARRAY' THEN array_to_string(json_extract_string(js, '$.keywords[*]'), '|') WHEN kind = 'VARCHAR' THEN array_to_string(list_filter(list_transform(string_split(json_extract_string(js, '$.keywords'), ','), lambda x: trim(x)), lambda x: x <> ''), '|') ELSE '' END AS keywords FROM k""")
 def cluster_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic and keywords of a summary, from a list or a comma string; null where the topic is no string."""
-    strings = ['{"topic": " topic ", "summary": "s", "keywords": ["a", "b"]}', '{"summary": "s", "keywords": "c, d"}', '{"topic": "topic", "summary": "s"}', '{"topic": 5, "summary": "s"}']
-    made = F.get(F.array(*map(F.lit, strings)), (F.col("doc_id") % 4).cast("int"))
-    found = P.cluster_summary(made)
+    own = lambda c: F.coalesce(c, F.lit(""))
+    of = lambda **keys: F.to_json(F.struct(*[c.alias(k) for k, c in keys.items()]))
+    shapes = [of(topic=F.concat(F.lit(" "), own("text"), F.lit(" ")), summary=F.lit("s"), keywords=F.array(own("source"), own("lang"))), of(summary=own("text"), keywords=F.concat(own("source"), F.lit(" , "), own("lang"), F.lit(","))), of(topic=own("source"), summary=F.lit("s")), of(topic=F.col("n_chars"), summary=F.lit("s"))]
+    found = P.cluster_summary(F.get(F.array(*shapes), (F.col("n_chars") % 4).cast("int")))
     return table(spark, sf_dir, "documents").select("doc_id", found["topic"].alias("topic"), F.when(found.isNotNull(), F.array_join(found["keywords"], "|")).alias("keywords"))
 
 

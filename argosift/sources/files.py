@@ -86,6 +86,23 @@ def read_paired_logs(spark: SparkSession, folder: str, tag: str = "assign", retr
     return pick("prompt").join(pick("response"), "batch")
 
 
+def write_paired_logs(df: DataFrame, folder: str, tag: str = "assign") -> None:
+    """(batch, retry, prompt, response) as the files that `read_paired_logs` reads.
+
+    Spark's writers don't name files by a row's values; so the driver writes them, one row at a time, to whatever store the folder is in. It is for
+    dumps of a debug run; `audit_rows` is the table for all calls.
+    """
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for row in df.toLocalIterator():
+        for kind in ("prompt", "response"):
+            if row[kind] is not None:
+                out = fs.create(hadoop.Path(f"{folder}/{tag}_batch{row['batch']}_retry{row['retry']}_{kind}.txt"))
+                out.write(bytearray(row[kind].encode("utf-8")))
+                out.close()
+
+
 def write_csv(df: DataFrame, path: str, floats: int | None = None) -> None:
     """CSV with a header; doubles with so many digits."""
     if floats is not None:
