@@ -54,6 +54,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/argosift-{name}-{uuid.uuid4().hex[:12]}"
+        self.paths: list[str] = []
         atexit.register(_delete, spark, self.root)
 
     def put(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -62,12 +63,21 @@ class Scratch:
         (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._argosift_path = path
+        self.paths.append(path)
         return out
 
     def drop(self, df: DataFrame | None) -> None:
         if path := getattr(df, "_argosift_path", None):
             _delete(self.spark, path)
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Drop all tables but these; nothing may read the others any more."""
+        kept = {t._argosift_path for t in tables}
+        for path in self.paths:
+            if path not in kept:
+                _delete(self.spark, path)
+        self.paths = [path for path in self.paths if path in kept]
+
 
 #: A group counts as hot if it has more than 1/HOT_SHARE of the rows: so there are fewer than HOT_SHARE of them, which bounds what is broadcast.
 HOT_SHARE = 512

@@ -10,8 +10,10 @@ Steps, none of which gathers a group in one task or lists all pairs of a group:
 3. Connected components. A bucket whose members lie in one component needs nothing more.
 4. For the other buckets the rest of their links is found exactly. Components that share a bucket form a region. A class with too many
    shingles that no other class of its region has can link with none, and drops out. Of the rest, classes outside the largest
-   component are queries against all others, within the whole region or within each of its buckets, whichever takes fewer comparisons
-   (regions may join up as a corpus grows; buckets don't). Queries go in blocks of bounded size spread over tasks by inverted lists.
+   component are queries against all others, within the whole region, within each of its buckets, or among the classes that share one of
+   their rarest shingles (the prefix of a set, which two linked sets can't help sharing), whichever takes fewer comparisons. Prefixes are made
+   only for regions of which the other two ways would copy each set many times: buckets of texts on one template, unlike otherwise.
+   Queries go in blocks of bounded size spread over tasks by inverted lists.
 5. Connected components of all links.
 """
 
@@ -37,8 +39,8 @@ class NearDedup:
     doc_id and differ in their sets, the set with the least digest, empty ones left out, is the document's, and each row has its own size. Rows with a null doc_id take no part: null component, kept. Columns besides doc_id and text don't matter.
     """
 
-    def __init__(self, k: int = 5, percent: int = 80, bands: int = 20, rows: int = 4, block: int = 400):
-        self.k, self.percent, self.block = k, percent, block
+    def __init__(self, k: int = 5, percent: int = 80, bands: int = 20, rows: int = 4, block: int = 400, copies: int = 8):
+        self.k, self.percent, self.block, self.copies = k, percent, block, copies
         self.hasher = MinHasher(bands, rows)
         m, j = bands * rows, percent / 100
         self.agree = max(1, int(m * j - 5 * (m * j * (1 - j)) ** 0.5))  # of m minima
@@ -120,6 +122,7 @@ class NearDedup:
         # Step 5: back to the rows.
         final = classes.join(parts, "id", "left").select("digest", "copies", F.coalesce("component", "id").alias("component_id"))
         final = scratch.put(final, "classes")
+        scratch.keep(seen, final)
         total = final.agg(F.sum("copies")).first()[0] or 0
         done = attach(full.select("doc_id", "n", "digest"), final, "digest", "copies", total).select("doc_id", "n", "component_id")
         rest = seen.filter("doc_id is null or digest is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -147,6 +150,26 @@ class NearDedup:
         common = F.size(F.array_intersect("tokens", "pivot_tokens")).cast("long")
         return both.filter(agree).withColumn("common", common).filter(self.linked("common", "n", "pivot_n")).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
 
+    @staticmethod
+    def _tops(rows: DataFrame) -> DataFrame:
+        """(region, kind, unit, all, top, comps, cost) of the units of `rows` in which several components meet: rows, largest component, what comparing takes."""
+        sizes = rows.groupBy("region", "kind", "unit", "comp").agg(F.count(F.lit(1)).alias("size"))
+        tops = sizes.groupBy("region", "kind", "unit").agg(F.sum("size").alias("all"), F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+        return tops.withColumn("cost", F.expr("all * (all - top.size + 64.0)"))
+
+    def _prefixes(self, sets: DataFrame, scratch: Scratch) -> DataFrame:
+        """(region, id, key): of each set of `sets` (region, id, n, tokens) the rarest tokens, so many that two linked sets of a region share one.
+
+        A set of n tokens links only with sets that hold ceil(n * percent / 100) of them; by one order of all tokens, the first n less that number
+        and one more suffice. Tokens that one set alone has come first in that order and can be shared with none.
+        """
+        each = scratch.put(sets.select("region", "id", "n", F.explode("tokens").alias("token")).select("region", "id", "n", F.xxhash64("region", "token").alias("key")), "tokens")
+        df = scratch.put(each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "df")
+        total = df.agg(F.sum("df")).first()[0] or 0
+        ordered = attach(each, df, "key", "df", total, SMALL_ROWS).groupBy("region", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("t"))
+        first = ordered.withColumn("p", F.expr(f"cast(size(t) - ({self.percent} * n + 99) div 100 + 1 as int)")).filter("p > 0")
+        return first.select("region", "id", F.explode(F.expr("slice(t, 1, p)")).alias("e")).select("region", "id", "e.key").distinct()
+
     def _rest(self, open_: DataFrame, members: DataFrame, parts: DataFrame, tokens: DataFrame, total: int, scratch: Scratch) -> DataFrame:
         """Links between components that meet in a bucket, exactly. `open_`: pairs of components; `total`: rows of `members`."""
         regions = connected_components(open_, scratch).select(F.col("id").alias("comp"), F.col("component").alias("region"))
@@ -165,11 +188,18 @@ class NearDedup:
         inside = left.select("id", "region")
         rows = placed.join(inside, "id").select("region", "id", "comp", F.lit(1).alias("kind"), F.xxhash64(F.lit(1), "key").alias("unit"))
         rows = scratch.put(rows.unionByName(owners.join(inside, "id").select("region", "id", "comp", F.lit(0).alias("kind"), F.xxhash64(F.lit(0), "region").alias("unit"))), "rows")
-        sizes = rows.groupBy("region", "kind", "unit", "comp").agg(F.count(F.lit(1)).alias("size"))
-        tops = sizes.groupBy("region", "kind", "unit").agg(F.sum("size").alias("all"), F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-        tops = scratch.put(tops.withColumn("cost", F.expr("all * (all - top.size + 64.0)")), "tops")
-        costs = tops.groupBy("region").agg(F.sum(F.expr("if(kind = 0, cost, 0)")).alias("whole"), F.sum(F.expr("if(kind = 1, cost, 0)")).alias("parts"))
-        kinds = costs.select("region", F.expr(f"if(whole <= greatest(parts, {self.block**2}), 0, 1)").alias("kind"))
+        tops = scratch.put(self._tops(rows), "tops")
+        costs = tops.groupBy("region").agg(F.sum(F.expr("if(kind = 0, cost, 0)")).alias("whole"), F.sum(F.expr("if(kind = 1, cost, 0)")).alias("parts"), F.max(F.expr("if(kind = 0, all, 0)")).alias("classes"))
+        costs = scratch.put(costs.withColumn("rare", F.lit(None).cast("double")), "costs")
+        dear = costs.filter(f"least(whole, parts) > {self.copies * self.block} * classes")
+        if not dear.isEmpty():
+            prefixes = self._prefixes(attach(left, dear.select("region", "classes"), "region", "classes", total), scratch)
+            rare = scratch.put(prefixes.join(owners, "id").select("region", "id", "comp", F.lit(2).alias("kind"), F.xxhash64(F.lit(2), "key").alias("unit")), "rare")
+            more = scratch.put(self._tops(rare), "tops")
+            spent = dear.drop("rare").join(more.groupBy("region").agg(F.sum("cost").alias("rare")), "region", "left").fillna(0.0, "rare")
+            costs = costs.join(dear.select("region"), "region", "left_anti").unionByName(spent)
+            rows, tops = rows.unionByName(rare), tops.unionByName(more)
+        kinds = costs.select("region", F.expr(f"case when whole <= greatest(least(parts, coalesce(rare, parts)), {self.block**2}) then 0 when rare < parts then 2 else 1 end").alias("kind"))
         tops = tops.join(kinds, ["region", "kind"]).select("unit", "all", F.col("top.comp").alias("top"), F.expr(f"cast(all div {self.block} as int)").alias("last_b"), F.expr(f"cast((all - top.size) div {self.block} as int)").alias("last_q"))
         rows = scratch.put(attach(rows.select("unit", "id", "comp"), scratch.put(tops, "tops"), "unit", "all", total, SMALL_ROWS), "rows")
         sets = left.select("id", "n", "tokens")

@@ -118,3 +118,37 @@ def test_components(spark, shape):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in parent}
+
+
+def templates(rng, number, shared=70, own=70):
+    """Texts on one template, of which every fifth has a near copy; unlike one another otherwise (Jaccard 1/3)."""
+    frame, rows = [f"f{i}" for i in range(shared)], []
+    for i in range(number):
+        words = [*frame, *(f"o{i}x{j}" for j in range(own))]
+        rows.append((10 * i, " ".join(words)))
+        if i % 5 == 0:
+            words[int(rng.integers(len(words)))] = "changed"
+            rows.append((10 * i + 1, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("k", "percent", "rows"), [(1, 80, 1), (2, 60, 1), (1, 34, 1)])
+def test_prefixes_in_place_of_buckets(spark, k, percent, rows):
+    """Buckets that a template fills are compared by rare shingles; links and components stay those of brute force."""
+    table = templates(np.random.default_rng(5), 60)
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    got = as_map(NearDedup(k, percent, bands=8, rows=rows, block=3, copies=0).components(df))
+    assert got == brute.near(table, k, percent)
+
+
+def test_prefixes_hold_every_link(spark):
+    rng = np.random.default_rng(3)
+    sets = {i: sorted({int(x) for x in rng.zipf(1.3, 30) % 60}) for i in range(150)}
+    df = spark.createDataFrame([(7, i, len(t), t) for i, t in sets.items()], "region long, id long, n int, tokens array<long>")
+    for percent in (50, 80, 100):
+        scratch, units = Scratch(spark, "test"), {}
+        for r in NearDedup(percent=percent)._prefixes(df, scratch).collect():
+            units.setdefault(r.key, set()).add(r.id)
+        met = {(a, b) for ids in units.values() for a in ids for b in ids if a < b}
+        linked = {(a, b) for a in sets for b in sets if a < b and 100 * len({*sets[a]} & {*sets[b]}) >= percent * len({*sets[a]} | {*sets[b]})}
+        assert linked <= met and (percent == 50 or len(met) < 150 * 149 / 2)
