@@ -120,25 +120,35 @@ def test_components(spark, shape):
     assert got == {x: find(x) for x in parent}
 
 
-def templates(rng, number, shared=70, own=70):
-    """Texts on one template, of which every fifth has a near copy; unlike one another otherwise (Jaccard 1/3)."""
+def templates(rng, number, shared, own, every):
+    """Texts on one template that differ in their `own` words; each `every`th has a near copy."""
     frame, rows = [f"f{i}" for i in range(shared)], []
     for i in range(number):
         words = [*frame, *(f"o{i}x{j}" for j in range(own))]
         rows.append((10 * i, " ".join(words)))
-        if i % 5 == 0:
+        if i % every == 0:
             words[int(rng.integers(len(words)))] = "changed"
             rows.append((10 * i + 1, " ".join(words)))
     return rows
 
 
-@pytest.mark.parametrize(("k", "percent", "rows"), [(1, 80, 1), (2, 60, 1), (1, 34, 1)])
-def test_prefixes_in_place_of_buckets(spark, k, percent, rows):
+@pytest.mark.parametrize(("number", "percent", "bands", "shared", "own", "every"), [(60, 80, 8, 70, 70, 5), (60, 34, 8, 70, 70, 5), (200, 96, 3, 90, 10, 1)])
+def test_prefixes_in_place_of_buckets(spark, monkeypatch, number, percent, bands, shared, own, every):
     """Buckets that a template fills are compared by rare shingles; links and components stay those of brute force."""
-    table = templates(np.random.default_rng(5), 60)
+    table, made, put = templates(np.random.default_rng(5), number, shared, own, every), {}, Scratch.put
+
+    def keeping(self, df, name, by=None):
+        made[name] = put(self, df, name, by)
+        return made[name]
+
+    monkeypatch.setattr(Scratch, "put", keeping)
+    monkeypatch.setattr(Scratch, "keep", lambda self, *tables: None)
     df = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
-    got = as_map(NearDedup(k, percent, bands=8, rows=rows, block=3, copies=0).components(df))
-    assert got == brute.near(table, k, percent)
+    got = as_map(NearDedup(1, percent, bands=bands, rows=1, block=3, copies=0).components(df))
+    assert got == brute.near(table, 1, percent)
+    assert made["rare"].count() > 0
+    if every == 1:  # pivots find few pairs; small units of rare shingles find the others
+        assert made["more"].count() > made["links"].count() and made["tops"].count() > 100
 
 
 def test_prefixes_hold_every_link(spark):
