@@ -179,3 +179,21 @@ def test_first_seen_and_cleaning(spark, tmp_path):
     q = got.writeStream.format("memory").queryName("firsts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert [r.cid for r in spark.table("firsts").collect()] == ["a"]
+
+
+def test_paired_logs_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """No row comes to the driver; texts keep their bytes; what isn't in a pair, of another retry or half a file stays out; other stores go through Spark."""
+    from pyspark.sql import DataFrame
+
+    rows = [(1, 0, "a\r\nb ", ""), (2, 0, "é\n\n", "ü😀"), (3, 0, "alone", None), (4, 1, "later", "later"), (-5, 0, "no number", "x")]
+    calls = spark.createDataFrame(rows, "batch int, retry int, prompt string, response string")
+    want = [(1, "a\r\nb ", ""), (2, "é\n\n", "ü😀")]
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "toLocalIterator", lambda *_: pytest.fail("rows in the driver"))
+        files.write_paired_logs(calls.repartition(3), f"file://{tmp_path}/a")
+    assert sorted(p.name for p in (tmp_path / "a").glob("*3_retry0*")) == ["assign_batch3_retry0_prompt.txt"] and not list((tmp_path / "a").glob("*.txt.*"))
+    assert sorted(map(tuple, files.read_paired_logs(spark, f"file://{tmp_path}/a").collect())) == want
+    monkeypatch.setattr(files, "_mounted", lambda *_: None)
+    files.write_paired_logs(calls, f"{tmp_path}/b")
+    for folder in ("a", "b"):
+        assert sorted(map(tuple, files.read_paired_logs(spark, f"{tmp_path}/{folder}").collect())) == want
