@@ -87,3 +87,11 @@ def test_alone_fluent_overlap(spark):
     df = spark.createDataFrame([("a b", "a b", 5.0, 5.0), ("abcdefghij", "abcdefghik", 5.0, 4.0), ("abcdefghij", "abcdefghik", 4.0, 5.0), ("ab", "xyz", 5.0, 4.0)], "o string, c string, p double, q double")
     assert [r.x for r in df.select(L.fluent(F.col("o"), F.col("c"), F.col("p"), F.col("q")).alias("x")).collect()] == [1, 0, 1, 1]
     assert one(spark, L.overlap_f1("a", "b"), a="gas is clean", b="clean gas") == pytest.approx(0.8) and one(spark, L.overlap_f1("a", "b"), a="gas", b=None) is None
+
+
+def test_language_splits_a_text_once(spark):
+    """One split in the whole plan; ties go to the first code, words of two languages count in both."""
+    df = spark.createDataFrame([("Der Hund und la le",), ("la",), ("EL por_la para é",), ("xyz",), (None,)], "t string")
+    found = df.select(T.detect_language("t").alias("d"))
+    assert [r.d for r in found.collect()] == ["de", "es", "es", None, None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
