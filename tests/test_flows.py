@@ -206,3 +206,15 @@ def test_csv_keeps_blanks_at_the_ends(spark, tmp_path):
     spark.createDataFrame([(i, t, " en " if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(r) for r in catalogue.queries()["csv_round_trip"](spark, str(tmp_path)).collect()}
     assert got == {(str(i), t or "", " en " if i % 2 else "") for i, t in enumerate(texts)}
+
+
+def test_models_take_rows_in_slices(spark):
+    """Rows stay in Arrow's form but for a slice; every row comes back with its own reply, whatever the other columns are."""
+    df = spark.range(0, 1500, 1, 2).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("p"), "id")).alias("prompt"), F.array("id").alias("more"), F.current_timestamp().alias("at"))
+    asked = M.ask(df, "prompt", M.EchoClient(str.upper))
+    for out in asked, M.score(df, "prompt", lambda texts: [len(t) for t in texts], "n", "long"), M.embed(df, "prompt"):
+        plan = out._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "MapInPandas" not in plan
+    assert {(r.id, r.reply, r.error, r.more[0]) for r in asked.collect()} == {(i, f"P{i}" if i % 7 else None, None, i) for i in range(1500)}
+    assert {(r.id, r.n) for r in M.score(df, "prompt", lambda texts: [len(t) for t in texts], "n", "long").collect()} == {(i, len(f"p{i}") if i % 7 else 0) for i in range(1500)}
+    assert [len(r.vector) for r in M.embed(df, "prompt").filter("id < 14").collect()] == [64] * 14
