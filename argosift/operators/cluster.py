@@ -7,8 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import davies_bouldin, silhouette
-
 
 def seed_groups(units: np.ndarray, threshold: float) -> np.ndarray:
     """Row by row: a row joins its earliest seed within the threshold or becomes a seed. Similarities are computed seed by seed."""
@@ -58,17 +56,59 @@ def rank_sweep(sweep: DataFrame, group: str = "segment") -> DataFrame:
     return out.withColumn("place", F.row_number().over(best))
 
 
+def judge_groups(units: np.ndarray, label: np.ndarray, block: int = 4096) -> tuple[float | None, float | None]:
+    """(silhouette, Davies-Bouldin index) of groups numbered from 0, as `vectors.silhouette` and `vectors.davies_bouldin` define them, by matrix products."""
+    n = np.bincount(label)
+    sums = np.zeros((len(n), units.shape[1]))
+    np.add.at(sums, label, units)
+    means = sums / np.maximum(n, 1)[:, None]
+    many = np.flatnonzero(n > 1)
+    at = np.full(len(n), -1)
+    at[many] = np.arange(len(many))
+    away = np.zeros(len(n))
+    total = count = 0
+    for i in range(0, len(units), block):
+        u, own = units[i : i + block], label[i : i + block]
+        away += np.bincount(own, np.sqrt(((u - means[own]) ** 2).sum(1)), len(n))
+        u, own = u[n[own] > 1], own[n[own] > 1]
+        if len(many) > 1 and len(u):
+            far, rows, k = 1 - u @ means[many].T, np.arange(len(u)), n[own]
+            near = far[rows, at[own]]
+            far[rows, at[own]] = np.inf
+            x, y = k * near / (k - 1), far.min(1)
+            top = np.maximum(x, y)
+            total, count = total + np.divide(y - x, top, out=np.zeros(len(u)), where=top != 0).sum(), count + len(u)
+    there = np.flatnonzero(n)
+    spread, means = (away[there] / n[there]), means[there]
+    worst = []
+    for c, s in zip(means, spread, strict=True):
+        gap = np.sqrt(((means - c) ** 2).sum(1))
+        if (gap > 0).any():  # a group isn't compared with itself, nor with one at its own centre
+            worst.append(((spread + s)[gap > 0] / gap[gap > 0]).max())
+    return total / count if count else None, float(np.mean(worst)) if worst else None
+
+
 def threshold_sweep(df: DataFrame, thresholds: list[float], group: str = "segment", order: str = "row_index", vector: str = "vector") -> DataFrame:
-    """Every threshold's greedy groups, judged and ranked, in one plan."""
-    merged = greedy_merge(df, thresholds, group, order, vector).join(df.select(group, order, vector), [group, order])
-    sizes = merged.groupBy(group, "threshold", "merged_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = sizes.groupBy(group, "threshold").agg(F.count(F.lit(1)).cast("int").alias("n_groups"), F.count_if(F.col("n") == 1).cast("int").alias("n_singletons"))
-    keys = [group, "threshold"]
-    sil, dbi = silhouette(merged, [*keys, "merged_id"], vector), davies_bouldin(merged, [*keys, "merged_id"], vector)
-    judged = counts.join(sil, keys, "left").join(dbi, keys, "left")
-    several = F.col("n_groups") - F.col("n_singletons") >= 2
-    judged = judged.withColumn("silhouette", F.when(several, F.col("silhouette"))).withColumn("dbi", F.when(several, F.col("dbi")))
-    return rank_sweep(judged, group)
+    """Every threshold's greedy groups, judged and ranked, in one plan.
+
+    The task that walks a group also judges it: a row a threshold leaves it, no point meets the means in rows. Rows without a place in the order take part
+    in the walk and aren't judged.
+    """
+    kinds = dict(df.dtypes)
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        u, known, rows = _units(pdf[vector]), pdf[order].notna().to_numpy(), []
+        for t in thresholds:
+            label = seed_groups(u, t)[known]
+            if len(label):
+                sizes = np.bincount(label)
+                groups, alone = int((sizes > 0).sum()), int((sizes == 1).sum())
+                rows.append((pdf[group].iloc[0], t, groups, alone, *(judge_groups(u[known], label) if groups - alone >= 2 else (None, None))))
+        return pd.DataFrame(rows, columns=[group, "threshold", "n_groups", "n_singletons", "silhouette", "dbi"]).astype({"silhouette": float, "dbi": float})
+
+    judged = df.filter(F.col(group).isNotNull()).select(group, order, vector).groupBy(group).applyInPandas(judge, f"{group} {kinds[group]}, threshold double, n_groups int, n_singletons int, silhouette double, dbi double")
+    return rank_sweep(judged.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("silhouette", "dbi")}), group)
 
 
 def representatives(df: DataFrame, group: list[str], id: str = "cluster_id") -> DataFrame:

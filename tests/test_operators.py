@@ -197,6 +197,27 @@ def test_sweep_of_strangers(spark):
     assert swept.n_groups == swept.n_singletons == 20 and swept.silhouette is None and swept.score == 0.0
 
 
+def test_sweep_is_judged_where_it_is_walked(spark):
+    """The same figures as the operators over rows give, null segments left out, rows without a place walked only; no join of points with groups."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(0, 1, (150, 6)), rng.normal(0, 1, (1, 6)).repeat(3, 0), np.zeros((2, 6))])
+    data = [(("a", "b", None)[i % 3], None if i == 6 else i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df, grid = spark.createDataFrame(data, "segment string, row_index long, vector array<float>"), [0.2, 0.5, 0.8]
+    swept = C.threshold_sweep(df, grid)
+    merged = C.greedy_merge(df.filter("segment IS NOT NULL"), grid).join(df, ["segment", "row_index"])
+    keys = ["segment", "threshold", "merged_id"]
+    sil, dbi = ({(r.segment, r.threshold): r[2] for r in f(merged, keys).collect()} for f in (V.silhouette, V.davies_bouldin))
+    sizes = {}
+    for r in merged.groupBy(*keys).count().collect():
+        sizes.setdefault((r.segment, r.threshold), []).append(r["count"])
+    got = {(r.segment, r.threshold): r for r in swept.collect()}
+    assert got.keys() == sizes.keys() and len(got) == 6
+    for k, n in sizes.items():
+        assert (got[k].n_groups, got[k].n_singletons) == (len(n), n.count(1)) and len(n) - n.count(1) >= 2
+        assert got[k].silhouette == pytest.approx(sil[k]) and got[k].dbi == pytest.approx(dbi[k])
+    assert "Join" not in swept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hdbscan_finds_blobs():
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(c, 0.1, (40, 2)) for c in ((0, 0), (5, 5), (0, 6))] + [rng.uniform(-20, 20, (15, 2))])
