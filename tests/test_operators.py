@@ -242,6 +242,18 @@ def test_representatives_by_string_order(spark):
     assert rows(C.representatives(df, ["merged_id"]), "merged_id", "cluster_id", "cluster_claim") == [(1, "Pro-Climate_100", "y"), (2, "a", "z")]
 
 
+def test_stance_vectors_come_in_few_large_blocks(spark, monkeypatch):
+    """The regression's input has no more partitions than there are cores, and blocks of many rows."""
+    seen = []
+    fit = S.LogisticRegression._fit
+    monkeypatch.setattr(S.LogisticRegression, "_fit", lambda self, df: seen.append((df.rdd.getNumPartitions(), self.getMaxBlockSizeInMB())) or fit(self, df))
+    df = spark.createDataFrame([(f"{i}", f"word{i % 2} more text", "ab"[i % 2]) for i in range(40)], "cid string, text string, stance string").repartition(20)
+    with monkeypatch.context() as m:
+        m.setattr("argosift.sources.files.scratch_put", lambda d, name: d)
+        S.fit_stance(df, min_df=1, max_iter=2)
+    assert seen and seen[0][0] <= spark.sparkContext.defaultParallelism and seen[0][1] >= 64
+
+
 def test_stance_model(spark):
     words = {"Pro-Climate": "climate warming carbon planet", "Pro-Energy": "gas oil jobs drilling", "Neutral": "weather report today local"}
     rng = random.Random(4)
