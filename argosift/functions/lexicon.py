@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import _text, count_char, count_tags, has_url, tokens
+from .text import _text, count_char, count_tags, count_where, has_url, tokens
 
 # Word lists. In the moral foundations `*` stands for any ending.
 MORAL_FOUNDATIONS = {
@@ -60,14 +64,18 @@ def invert(pairs: DataFrame, word: str = "word", category: str = "category") ->
     return pairs.groupBy(category).agg(F.array_sort(F.collect_set(word)).alias("words"))
 
 
-def _n(found: Column) -> Column:
-    return F.greatest(F.size(found), F.lit(1))
+def _size(text: Column | str, made: Column | None) -> Column:
+    return F.size(tokens(text)) if made is None else made["tokens"]
 
 
-def type_rates(text: Column | str, lexicon: dict[str, list[str]], prefix: str = "nrc_", found: Column | None = None) -> dict[str, Column]:
+def _n(text: Column | str, made: Column | None) -> Column:
+    return F.greatest(_size(text, made), F.lit(1))
+
+
+def type_rates(text: Column | str, lexicon: dict[str, list[str]], prefix: str = "nrc_", made: Column | None = None) -> dict[str, Column]:
     """For each category, the distinct words of it in the text per 100 tokens. (L1)"""
-    found = tokens(text) if found is None else found
-    return {prefix + k: F.size(F.array_intersect(found, F.array(*map(F.lit, sorted(v))))) / _n(found) * 100 for k, v in lexicon.items()}
+    common = lambda k, v: F.size(F.array_intersect(tokens(text), F.array(*map(F.lit, sorted(v))))) if made is None else made[prefix + k]
+    return {prefix + k: common(k, v) / _n(text, made) * 100 for k, v in lexicon.items()}
 
 
 def pattern_of(words: list[str]) -> str:
@@ -91,35 +99,31 @@ def lexicon_hits(text: Column | str, lexicon: dict[str, list[str]] = MORAL_FOUND
     return F.regexp_extract_all(F.lower(_text(text)), F.lit(any_pattern([w for v in lexicon.values() for w in v])), F.lit(0))
 
 
-def token_rates(text: Column | str, lexicon: dict[str, list[str]] = MORAL_FOUNDATIONS, prefix: str = "mfd2_", found: Column | None = None, hits: Column | None = None) -> dict[str, Column]:
+def token_rates(text: Column | str, lexicon: dict[str, list[str]] = MORAL_FOUNDATIONS, prefix: str = "mfd2_", made: Column | None = None) -> dict[str, Column]:
     """For each category, the tokens that fit any of its patterns per 100 tokens. (L2, L4)"""
-    found = tokens(text) if found is None else found
-    hits = lexicon_hits(text, lexicon) if hits is None else hits
-    fitting = lambda p: F.size(F.filter(hits, lambda t: t.rlike(p)))
-    return {prefix + k: fitting(pattern_of(v)) / _n(found) * 100 for k, v in lexicon.items()}
+    fitting = lambda k, v: F.size(F.filter(lexicon_hits(text, lexicon), lambda t: t.rlike(pattern_of(v)))) if made is None else made[_key(prefix + k)]
+    return {prefix + k: fitting(k, v) / _n(text, made) * 100 for k, v in lexicon.items()}
 
 
-def register_features(text: Column | str, found: Column | None = None) -> dict[str, Column]:
+def register_features(text: Column | str, made: Column | None = None) -> dict[str, Column]:
     """Word length, type-token ratio, word count (1 for none), rates per 100 words, url flag."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    found = tokens(t) if found is None else found
-    n = _n(found)
-    share = lambda words: F.size(F.filter(found, lambda x: x.isin(words))) / n * 100
-    letters = F.aggregate(found, F.lit(0), lambda a, x: a + F.length(x))
+    found, size, n = tokens(t), _size(t, made), _n(t, made)
+    share = lambda k, words: (F.size(F.filter(found, lambda x: x.isin(words))) if made is None else made[k]) / n * 100
+    letters, types = (F.aggregate(found, F.lit(0), lambda a, x: a + F.length(x)), F.size(F.array_distinct(found))) if made is None else (made["letters"], made["types"])
     return {
-        "avg_word_len": F.when(F.size(found) > 0, letters / F.size(found)).otherwise(0.0), "ttr": F.size(F.array_distinct(found)) / n, "n_words": n,
-        "modal_rate": share(MODALS), "imperative_rate": share(CALLS), "question_rate": count_char(t, "?") / n * 100, "exclaim_rate": count_char(t, "!") / n * 100,
+        "avg_word_len": F.when(size > 0, letters / size).otherwise(0.0), "ttr": types / n, "n_words": n,
+        "modal_rate": share("modals", MODALS), "imperative_rate": share("calls", CALLS), "question_rate": count_char(t, "?") / n * 100, "exclaim_rate": count_char(t, "!") / n * 100,
         "hashtag_rate": count_tags(t, "#") / n * 100, "mention_rate": count_tags(t, "@") / n * 100, "has_url": has_url(t).cast("int"),
     }
 
 
-def readability(text: Column | str, found: Column | None = None) -> dict[str, Column]:
+def readability(text: Column | str, made: Column | None = None) -> dict[str, Column]:
     """Flesch-Kincaid grade and Flesch reading ease; syllables are runs of vowels, so both are approximate."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    found = tokens(t) if found is None else found
-    syllables = F.aggregate(found, F.lit(0), lambda a, w: a + F.greatest(F.lit(1), F.regexp_count(F.regexp_replace(w, "e$", ""), F.lit("[aeiouy]+"))))
+    syllables = F.aggregate(tokens(t), F.lit(0), lambda a, w: a + F.greatest(F.lit(1), F.regexp_count(F.regexp_replace(w, "e$", ""), F.lit("[aeiouy]+")))) if made is None else made["syllables"]
     sentences = F.greatest(F.regexp_count(t, F.lit(r"[.!?]+(?:\s|$)")), F.lit(1))
-    per_sentence, per_word = F.size(found) / sentences, syllables / _n(found)
+    per_sentence, per_word = _size(t, made) / sentences, syllables / _n(t, made)
     return {"fk_grade": 0.39 * per_sentence + 11.8 * per_word - 15.59, "flesch_ease": 206.835 - 1.015 * per_sentence - 84.6 * per_word}
 
 
@@ -127,20 +131,21 @@ def readability(text: Column | str, found: Column | None = None) -> dict[str, Co
 VALENCE = {w: v for v, words in ((0.6, "good great love best win safe hope happy strong better support benefit"), (-0.6, "bad worst hate fear crisis danger disaster wrong fail corrupt threat harm")) for w in words.split()}
 
 
-def polarity(text: Column | str, valence: dict[str, float] = VALENCE, found: Column | None = None) -> dict[str, Column]:
+def polarity(text: Column | str, valence: dict[str, float] = VALENCE, made: Column | None = None) -> dict[str, Column]:
     """Compound, positive, negative and neutral shares from a valence list: a plain stand-in for a rule-based scorer."""
-    found = tokens(text) if found is None else found
     good, bad = ([w for w, v in valence.items() if (v > 0) == up] for up in (True, False))
-    pos, neg = F.size(F.filter(found, lambda x: x.isin(good))), F.size(F.filter(found, lambda x: x.isin(bad)))
+    count = lambda k, words: F.size(F.filter(tokens(text), lambda x: x.isin(words))) if made is None else made[k]
+    pos, neg, n = count("good", good), count("bad", bad), _n(text, made)
     raw = (pos - neg) * 0.6 * 4
-    return {"vader_compound": raw / F.sqrt(raw * raw + 15), "vader_pos": pos / _n(found), "vader_neg": neg / _n(found), "vader_neu": (F.size(found) - pos - neg) / _n(found)}
+    return {"vader_compound": raw / F.sqrt(raw * raw + 15), "vader_pos": pos / n, "vader_neg": neg / n, "vader_neu": (_size(text, made) - pos - neg) / n}
 
 
-def entity_rates(text: Column | str, found: Column | None = None) -> dict[str, Column]:
+def entity_rates(text: Column | str, made: Column | None = None) -> dict[str, Column]:
     """A column for each entity label, null: no recogniser is at hand. Patterns give dates, money and percentages."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    known = {"MONEY": r"[$€£]\s?[0-9][0-9.,]*", "PERCENT": r"[0-9]+(?:\.[0-9]+)?\s?%", "DATE": r"\b(?:19|20)[0-9]{2}\b"}
-    return {f"ner_{k.lower()}": F.regexp_count(t, F.lit(known[k])) / _n(tokens(t) if found is None else found) * 100 if k in known else F.lit(None).cast("double") for k in ENTITY_LABELS}
+    known = {"MONEY": (r"[$€£]\s?[0-9][0-9.,]*", "$€£"), "PERCENT": (r"[0-9]+(?:\.[0-9]+)?\s?%", "%"), "DATE": (r"\b(?:19|20)[0-9]{2}\b", ("19", "20"))}
+    count = lambda k: count_where(t, *known[k])
+    return {f"ner_{k.lower()}": count(k) / _n(t, made) * 100 if k in known else F.lit(None).cast("double") for k in ENTITY_LABELS}
 
 
 def stands_alone(text: Column | str) -> Column:
@@ -166,11 +171,104 @@ def overlap_f1(claim: Column | str, source: Column | str) -> Column:
     return F.when(F.size(b) > 0, 2 * common / F.greatest(F.size(a) + F.size(b), F.lit(1)))
 
 
-def tokenised(df: DataFrame, text: str = "text", lexicon: dict[str, list[str]] = MORAL_FOUNDATIONS) -> DataFrame:
-    """`df` with __tokens and __hits, made once a text: in expressions over arrays Spark would make them anew for each feature."""
-    return df.withColumns({"__tokens": tokens(text), "__hits": lexicon_hits(text, lexicon)})
-
-
-def all_features(text: Column | str, found: Column | None = None, hits: Column | None = None) -> dict[str, Column]:
-    """Every feature of a text in one projection; `found` and `hits` are the columns of `tokenised`, where they are at hand."""
-    return reduce(lambda a, b: a | b, [register_features(text, found), readability(text, found), token_rates(text, found=found, hits=hits), polarity(text, found=found), entity_rates(text, found)])
+#: Bytes of text whose tokens are held at a time.
+BLOCK = 1 << 22
+#: Letters in lower case, 0 for all other bytes.
+_LOW = np.array([ord(chr(b).lower()) if chr(b).isascii() and chr(b).isalpha() else 0 for b in range(256)], "uint8")
+_VOWEL = np.array([chr(b) in "aeiouy" for b in range(256)], "bool")
+
+
+def _key(name: str) -> str:
+    return name.replace(".", "_")
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of texts, and where each ends; the first of the ends is 0."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], "int64")[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, "int64")
+    data = texts.buffers()[2]
+    return (np.frombuffer(data, "uint8")[ends[0] : ends[-1]] if data is not None and data.size else np.zeros(0, "uint8")), ends - ends[0]
+
+
+def _syllables(words: pa.Array) -> np.ndarray:
+    """Runs of vowels in each word of a-z, without an e at its end; at least 1."""
+    data, ends = _bytes(words)
+    if not len(data):
+        return np.zeros(0, "int64")
+    vowel = _VOWEL[data]
+    run = vowel.copy()
+    run[1:] &= ~vowel[:-1]
+    run[ends[:-1]] = vowel[ends[:-1]]
+    run[ends[1:] - 1] &= data[ends[1:] - 1] != ord("e")
+    return np.maximum(np.add.reduceat(run, ends[:-1], dtype="int64"), 1)
+
+
+def _block(texts: pa.Array, of_tokens: dict[str, list[str]], of_types: dict[str, list[str]]) -> dict[str, np.ndarray]:
+    """Counts a text of `texts`, which has no nulls: see `token_counts`."""
+    n = len(texts)
+    data, ends = _bytes(texts)
+    for mark, low in ("\u0130", "i\u0307"), ("\u212a", "k"):  # the characters besides A-Z whose lower case has a letter a-z
+        if mark.encode() in data.tobytes():
+            data, ends = _bytes(texts := pc.replace_substring(texts, mark, low))
+    low = _LOW[data]
+    letter = low > 0
+    first, last = letter.copy(), letter.copy()
+    first[1:] &= ~letter[:-1]
+    last[:-1] &= ~letter[1:]
+    some = np.diff(ends) > 0
+    for found, edge in (first, ends[:-1][some]), (last, ends[1:][some] - 1):  # a token ends with its text
+        found[edge] = letter[edge]
+    at = np.flatnonzero(first)
+    lengths = np.flatnonzero(last) - at + 1
+    bounds = np.searchsorted(at, ends)
+    total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x, dtype="int64")))[bounds])
+    words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.concatenate(([0], np.cumsum(lengths, dtype="int64")))), pa.py_buffer(low[letter])).dictionary_encode()
+    codes, vocabulary = words.indices.to_numpy(), words.dictionary
+    out = {"tokens": np.diff(bounds), "letters": total(lengths), "syllables": total(_syllables(vocabulary)[codes])}
+    rows = np.repeat(np.arange(n), out["tokens"])
+    pairs = np.sort(rows * max(len(vocabulary), 1) + codes)
+    new = np.ones(len(pairs), "bool")
+    new[1:] = pairs[1:] != pairs[:-1]
+    out["types"] = total(new)
+    fit = lambda words, by: by(words).to_numpy(zero_copy_only=False)
+    regex = lambda v: lambda words: pc.match_substring_regex(words, pattern_of(v) if v else "^$")
+    member = lambda v: lambda words: pc.is_in(words, pa.array(v, words.type))
+    for lexicon, by, r, c in (of_tokens, regex, rows, codes), (of_types, member, *np.divmod(pairs[new], max(len(vocabulary), 1))):
+        listed = fit(vocabulary, by([w for v in lexicon.values() for w in v]))  # few words are in any list; only these are held against each
+        hit = np.flatnonzero(listed[c])
+        r, c, few = r[hit], (np.cumsum(listed) - 1)[c[hit]], vocabulary.filter(pa.array(listed))
+        out |= {k: np.bincount(r[fit(few, by(v))[c]], minlength=n) for k, v in lexicon.items()}
+    return out
+
+
+def token_counts(text: Column | str, of_tokens: dict[str, list[str]], of_types: dict[str, list[str]]) -> Column:
+    """A struct of counts from one pass over the text: tokens, their letters, syllables and types, the tokens in each list of `of_tokens` and the types in each of `of_types`.
+
+    Arrow: expressions over arrays are interpreted a token at a time, and made anew for each mention.
+    """
+    names = ["tokens", "letters", "syllables", "types", *of_tokens, *of_types]
+
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype="int64")
+            parts, start = [], 0
+            while start < len(texts) or not parts:
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BLOCK, "right")))
+                made = _block(texts[start:stop], of_tokens, of_types)
+                parts.append(pa.StructArray.from_arrays([pa.array(made[k], pa.int32()) for k in names], names))
+                start = stop
+            yield pa.concat_arrays(parts)
+
+    return F.arrow_udf(each, ", ".join(f"`{k}` int" for k in names))(_text(text))
+
+
+def tokenised(df: DataFrame, text: str = "text", types: dict[str, list[str]] | None = None) -> DataFrame:
+    """`df` with __made, the counts that the features of a text need; `types` is a lexicon for `type_rates`."""
+    good, bad = ([w for w, v in VALENCE.items() if (v > 0) == up] for up in (True, False))
+    of_tokens = {"modals": MODALS, "calls": CALLS, "good": good, "bad": bad} | {_key("mfd2_" + k): v for k, v in MORAL_FOUNDATIONS.items()}
+    return df.withColumn("__made", token_counts(text, of_tokens, {"nrc_" + k: v for k, v in (types or {}).items()}))
+
+
+def all_features(text: Column | str, made: Column | None = None) -> dict[str, Column]:
+    """Every feature of a text in one projection; `made` is the column of `tokenised`, where it is at hand."""
+    return reduce(lambda a, b: a | b, [register_features(text, made), readability(text, made), token_rates(text, made=made), polarity(text, made=made), entity_rates(text, made)])

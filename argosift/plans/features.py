@@ -34,7 +34,7 @@ _REGISTER = {
 
 
 def _tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.tokenised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return L.tokenised(table(spark, sf_dir, "documents").select("doc_id", "text"), types=EMOTIONS)
 
 
 def _select(columns: dict[str, str], more: str = "doc_id") -> str:
@@ -44,7 +44,7 @@ def _select(columns: dict[str, str], more: str = "doc_id") -> str:
 @query(f"WITH {_TOKENS_CTE} {_select(_REGISTER)} FROM t")
 def register_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word length, variety, modal and call words, marks, tags, urls."""
-    return _tokenised(spark, sf_dir).select("doc_id", *_rounded(L.register_features("text", F.col("__tokens"))))
+    return _tokenised(spark, sf_dir).select("doc_id", *_rounded(L.register_features("text", F.col("__made"))))
 
 
 @query(f"WITH {_TOKENS_CTE} " + _select({
@@ -53,7 +53,7 @@ def register_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 }) + " FROM t")
 def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate readability."""
-    return _tokenised(spark, sf_dir).select("doc_id", *_rounded(L.readability("text", F.col("__tokens"))))
+    return _tokenised(spark, sf_dir).select("doc_id", *_rounded(L.readability("text", F.col("__made"))))
 
 
 def _pattern_sql(words: list[str]) -> str:
@@ -65,13 +65,13 @@ def _pattern_sql(words: list[str]) -> str:
 @query(f"WITH {_TOKENS_CTE} {_select({'mfd2_' + k: _pattern_sql(v) for k, v in L.MORAL_FOUNDATIONS.items()})} FROM t")
 def mfd_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2, L4: token rates of the moral foundations."""
-    return _tokenised(spark, sf_dir).select("doc_id", *_rounded(L.token_rates("text", found=F.col("__tokens"), hits=F.col("__hits"))))
+    return _tokenised(spark, sf_dir).select("doc_id", *_rounded(L.token_rates("text", made=F.col("__made"))))
 
 
 @query(f"WITH {_TOKENS_CTE} " + _select({"nrc_" + k: f"len(list_filter(list_distinct(k), lambda w: w IN {_in(v)})) / {_N} * 100" for k, v in EMOTIONS.items()}) + " FROM t")
 def nrc_style_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1: rates of distinct lexicon words."""
-    return _tokenised(spark, sf_dir).select("doc_id", *_rounded(L.type_rates("text", EMOTIONS, found=F.col("__tokens"))))
+    return _tokenised(spark, sf_dir).select("doc_id", *_rounded(L.type_rates("text", EMOTIONS, made=F.col("__made"))))
 
 
 @query("WITH p AS (SELECT unnest(['idiot', 'moron', 'scum', 'trash', 'trash', 'worthless']) AS word, unnest(['anger', 'anger', 'anger', 'anger', 'disgust', 'disgust']) AS category) SELECT category, string_agg(word, ',' ORDER BY word) AS words FROM p GROUP BY category")
@@ -94,13 +94,13 @@ _PN = f"len(list_filter(k, lambda w: w IN {_in(_POS)}))", f"len(list_filter(k, l
 @query(f"WITH {_TOKENS_CTE}, c AS (SELECT doc_id, k, {_PN[0]} AS p, {_PN[1]} AS n, ({_PN[0]} - {_PN[1]}) * 0.6 * 4 AS raw FROM t) " + _select({"vader_compound": "raw / sqrt(raw * raw + 15)", "vader_pos": f"p / {_N}", "vader_neg": f"n / {_N}", "vader_neu": f"(len(k) - p - n) / {_N}"}) + " FROM c")
 def polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stand-in valence scores."""
-    return _tokenised(spark, sf_dir).select("doc_id", *_rounded(L.polarity("text", found=F.col("__tokens"))))
+    return _tokenised(spark, sf_dir).select("doc_id", *_rounded(L.polarity("text", made=F.col("__made"))))
 
 
 @query(rf"WITH {_TOKENS_CTE} " + _select({"ner_money": rf"len(regexp_extract_all(x, '[$€£]\s?[0-9][0-9.,]*')) / {_N} * 100", "ner_percent": rf"len(regexp_extract_all(x, '[0-9]+(?:\.[0-9]+)?\s?%')) / {_N} * 100", "ner_date": rf"len(regexp_extract_all(x, '\b(?:19|20)[0-9]{{2}}\b')) / {_N} * 100"}, "doc_id, " + ", ".join(f"NULL::DOUBLE AS ner_{k}" for k in ("org", "person", "gpe", "loc", "law"))) + " FROM t")
 def entity_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pattern entities; labels that need a recogniser are null."""
-    return _tokenised(spark, sf_dir).select("doc_id", *_rounded(L.entity_rates("text", F.col("__tokens"))))
+    return _tokenised(spark, sf_dir).select("doc_id", *_rounded(L.entity_rates("text", F.col("__made"))))
 
 
 @query("""WITH d AS (SELECT item_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS a FROM benchmark)
@@ -117,12 +117,12 @@ def faithfulness_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _every() -> dict[str, Column]:
     """Every feature of a text, dots in the names as underscores; entity labels that need a recogniser are null."""
-    return {k.replace(".", "_"): c for k, c in (L.all_features("text", F.col("__tokens"), F.col("__hits")) | L.type_rates("text", EMOTIONS, found=F.col("__tokens"))).items()}
+    return {k.replace(".", "_"): c for k, c in (L.all_features("text", F.col("__made")) | L.type_rates("text", EMOTIONS, made=F.col("__made"))).items()}
 
 
 def platform_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every feature of every post, with its platform."""
-    return L.tokenised(schemas.posts(spark, sf_dir)).select("platform", *[c.alias(k) for k, c in _every().items()])
+    return L.tokenised(schemas.posts(spark, sf_dir), types=EMOTIONS).select("platform", *[c.alias(k) for k, c in _every().items()])
 
 
 FEATURES = ["avg_word_len", "ttr", "n_words", "modal_rate", "exclaim_rate", "question_rate"]

@@ -4,8 +4,10 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
+from argosift.functions import lexicon as L
 from argosift.operators import stance as S
 from argosift.plans import catalogue
+from argosift.plans.features import EMOTIONS
 
 
 def distance(a, b):
@@ -43,3 +45,30 @@ def test_every_feature_is_compared(spark, sf):
     names = {r.feature for r in got}
     assert {"ttr", "fk_grade", "vader_compound", "ner_money", "ner_percent", "ner_date"} <= names and any(n.startswith("mfd2_") for n in names) and any(n.startswith("nrc_") for n in names)
     assert all(r.p_bonferroni == pytest.approx(min(1, r.p * len(got))) for r in got if r.p is not None)
+
+
+ODD = [
+    None, "", " ", "a", "e", "The theme: able apple ye eye see e.", "Can't COULD would! should? Join us", "İstanbul Iİi Kelvin marK", "cafés naïve Ångström 日本 abc日def",
+    "abc", "def", "Kind kindness unkind lawless law laws dirty dirtying", "idiot Idiot moron trash trash the and with the", "good bad best worst hopeful", "#tag ##x # y @me a@b @ é# #é",
+    "costs $5, € 6.50 and £x; 5% of 7.5 % in 1999, 20201 and 2020", "http://x.y HTTPS://Z", "one.two. three!? four...\nfive.", "x\x00y\tz q. ", "\U0001f600 smile\U0001f600smile " * 9,
+]
+
+
+@pytest.mark.parametrize("block", [L.BLOCK, 16])
+def test_counts_of_tokens_are_those_of_expressions(spark, monkeypatch, block):
+    """Every feature from the counts made once a text is bit by bit what the expressions over its tokens give, however texts share blocks."""
+    monkeypatch.setattr(L, "BLOCK", block)
+    df = spark.createDataFrame(list(enumerate(ODD)), "id long, text string").coalesce(1)
+
+    def features(df, made=None):
+        found = L.all_features("text", made) | L.type_rates("text", EMOTIONS, made=made)
+        return [tuple(r) for r in df.select("id", *[c.alias(k.replace(".", "_")) for k, c in found.items()]).orderBy("id").collect()]
+
+    assert features(L.tokenised(df, types=EMOTIONS), F.col("__made")) == features(df)
+
+
+def test_significance_walks_tokens_once(spark, sf):
+    """No feature is interpreted a token at a time, and one step counts the tokens for all."""
+    plan = catalogue.queries()["platform_significance"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and "regexp_extract_all(lower" not in plan
+    assert plan.count("pythonUDF") > 0 and sum("each(" in line and "ArrowEvalPython" in line for line in plan.splitlines()) == 1
